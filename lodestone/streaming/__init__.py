@@ -1,0 +1 @@
+"""Every job here is a batch job; there is no streaming source, state or sink to rebuild."""
