@@ -37,7 +37,7 @@ def stratified(
     return random_n(df, key, limit, seed)
 
 
-def numbered(df: DataFrame, key: str, seed: int = 42, prefix: int = 3) -> DataFrame:
+def numbered(df: DataFrame, key: str, seed: int = 42, prefix: int = 4) -> DataFrame:
     """Add ``position``, the place of each row in drawn order over the whole table.
 
     The leading hex digits of the draw cut the rows into 16^prefix even ranges: rows

@@ -12,7 +12,7 @@ from lodestone.functions.vectors import TrigramEmbedder
 from lodestone.operators import embedding, evaluation, hybrid, keyword, knn, sampling, store_health
 from lodestone.plans.registry import Tables, plan
 from lodestone.plans.standins import CORPUS_SQL, corpus
-from lodestone.session import stage
+from lodestone.session import scratch_path, spread, stage
 
 DIM = 64
 make_embedder = partial(TrigramEmbedder, DIM)
@@ -138,6 +138,18 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
     return keyword.match_rank(texts, texts, 10, query_key="id", query_text="content")
 
 
+@plan("keyword_topk_indexed", f"""
+WITH {keyword_sql(_PASSAGES, _TEXTS, 10)}
+SELECT query_id, id, score, CAST(r AS BIGINT) AS rank FROM kw
+""")
+def keyword_topk_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    path = f"{scratch_path(spark, 'index')}/text"
+    keyword.TextIndex.write(corpus(t), path, buckets=16)
+    passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return keyword.match_rank(passages, keyword.TextIndex.read(spark, path), 10)
+
+
 _VECTORS = "(SELECT vec_id AS query_id, embedding FROM embeddings)"
 
 
@@ -184,10 +196,10 @@ SELECT query_id, id, CAST(vector_rank AS BIGINT) AS vector_rank, CAST(keyword_ra
 FROM fused WHERE rank <= 10
 """)
 def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
-    store = corpus(Tables(spark, folder))
-    queries = _query_by_example(store)
-    near = knn.knn(queries.select("query_id", "embedding"), store.select("id", "embedding"), hybrid.DEPTH)
-    words = keyword.match_rank(queries.select("query_id", "query_text"), store.select("id", "content"), hybrid.DEPTH)
+    t = Tables(spark, folder)
+    near = knn.knn(t.embeddings, t.embeddings, hybrid.DEPTH, query_key="vec_id", corpus_key="vec_id")
+    asked = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left_semi")
+    words = keyword.match_rank(asked, _texts(t), hybrid.DEPTH, query_key="doc_id", query_text="text")
     fused = knn.top_per_query(hybrid.fuse(near, words), 10, [F.col("score").desc(), F.col("id")])
     return fused.withColumn("score", F.round("score", 9))
 
@@ -313,7 +325,7 @@ WITH {perturb_sql("documents", "doc_id", "text")}
 SELECT id, perturbation, query_text FROM perturbed
 """)
 def perturb_queries(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.perturb_queries(Tables(spark, folder).documents, "doc_id", "text")
+    return evaluation.perturb_queries(spread(_texts(Tables(spark, folder)), "id"), "id", "content")
 
 
 @plan("search_eval", f"""
@@ -346,7 +358,7 @@ SELECT strategy, perturbation, hits, total, round(hits / greatest(total, 1), 6)
 """)
 def search_eval(spark: SparkSession, folder: str) -> DataFrame:
     texts = _texts(Tables(spark, folder))
-    store = stage(embedding.embed(texts, "content", make_embedder), "eval-store")
+    store = stage(embedding.embed(spread(texts, "id"), "content", make_embedder), "eval-store")
     return evaluation.search_eval(store, make_embedder)
 
 

@@ -60,3 +60,21 @@ def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     path = f"{scratch_path(spark, label)}/data"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_INPUT_PER_CORE = 16 << 20
+SPREAD_PARTITION = 256 << 10
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small input out to all cores before costly work on its rows.
+
+    A small table is often one row group, which one task reads. Inputs that give
+    every core its share already come back as they are, without a shuffle.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores == 1 or size >= cores * SMALL_INPUT_PER_CORE:
+        return df
+    return df.repartition(max(1, min(cores, size // SPREAD_PARTITION)), key)

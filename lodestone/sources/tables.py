@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,14 +51,17 @@ def jdbc_reader(spark: SparkSession, url: str, cuts: dict[str, dict] | None = No
     return read
 
 
-def ingest(read, specs: Iterable[str], target: str) -> dict[str, str]:
-    """Copy the chosen tables to Parquet under ``target``; returns table -> folder."""
-    written = {}
-    for schema, name in chosen_tables(specs):
+def ingest(read, specs: Iterable[str], target: str, jobs: int = 4) -> dict[str, str]:
+    """Copy the chosen tables to Parquet under ``target``, ``jobs`` at a time; returns table -> folder."""
+
+    def copy(table: tuple[str, str]) -> tuple[str, str]:
+        schema, name = table
         path = f"{target}/{schema}/{name}.parquet"
         read(schema, name).write.mode("overwrite").parquet(path)
-        written[f"{schema}.{name}"] = path
-    return written
+        return f"{schema}.{name}", path
+
+    with ThreadPoolExecutor(jobs) as pool:
+        return dict(pool.map(copy, chosen_tables(specs)))
 
 
 def distinct_entries(entries: DataFrame, position: str, entry: str) -> DataFrame:
