@@ -162,12 +162,54 @@ def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return knn.knn(vectors, vectors, 10, query_key="vec_id", corpus_key="vec_id")
 
 
-@plan("knn_lsh")
+LSH_SQL = f"""
+planes AS (
+    SELECT b.range AS b, i.range AS i, CASE WHEN substr(md5('42:' || b.range || ':' || i.range), 1, 1) >= '8' THEN 1 ELSE -1 END AS s
+    FROM range(8) b, range({DIM}) i
+),
+margins AS (
+    SELECT vec_id, b, sum(s * embedding[i + 1]::DOUBLE) AS m FROM embeddings, planes GROUP BY vec_id, b
+),
+cells AS (SELECT vec_id, sum(CASE WHEN m > 0 THEN 1 << b ELSE 0 END) AS cell FROM margins GROUP BY vec_id),
+probes AS (SELECT vec_id AS query_id, cell FROM (
+    SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY cost, cell) AS r FROM (
+        SELECT vec_id, c.range AS cell, sum(CASE WHEN (m > 0) <> ((c.range >> b) & 1 = 1) THEN m * m ELSE 0 END) AS cost
+        FROM margins, range(256) c GROUP BY vec_id, c.range
+    )
+) WHERE r <= 192),
+near AS (SELECT query_id, id, distance, r FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM (
+        SELECT p.query_id, c.vec_id AS id,
+               round(1 - list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])
+                     / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))
+                        * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) + 0.0::DOUBLE AS distance
+        FROM probes p JOIN cells c ON c.cell = p.cell
+        JOIN embeddings q ON q.vec_id = p.query_id JOIN embeddings e ON e.vec_id = c.vec_id
+    )
+) WHERE r <= 10)"""
+
+
+@plan("knn_lsh", f"""
+WITH {LSH_SQL}
+SELECT query_id, id, distance, CAST(r AS BIGINT) AS rank FROM near
+""")
 def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
     vectors = Tables(spark, folder).embeddings
     return knn.knn_lsh(vectors, vectors, 10, DIM, query_key="vec_id", corpus_key="vec_id")
 
 
+@plan("knn_lsh_recall", f"""
+WITH {LSH_SQL}, {vector_sql(_VECTORS, "(SELECT vec_id AS id, embedding FROM embeddings)", 10)}
+SELECT expected, found, round(found / greatest(expected, 1), 6) AS recall FROM (
+    SELECT count(*) AS expected, count(n.id) AS found FROM vec v LEFT JOIN near n ON n.query_id = v.query_id AND n.id = v.id
+)
+""")
+def knn_lsh_recall(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = Tables(spark, folder).embeddings
+    exact = knn.knn(vectors, vectors, 10, query_key="vec_id", corpus_key="vec_id")
+    return knn.neighbour_recall(exact, knn_lsh(spark, folder))
+
+
 # Every stored row asks for its own neighbours, by its vector and its whole text.
 _STORED = "(SELECT id AS query_id, content AS query_text, embedding FROM corpus WHERE embedding IS NOT NULL)"
 
@@ -197,8 +239,10 @@ FROM fused WHERE rank <= 10
 """)
 def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    near = knn.knn(t.embeddings, t.embeddings, hybrid.DEPTH, query_key="vec_id", corpus_key="vec_id")
-    asked = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left_semi")
+    same = F.col("doc_id") == F.col("vec_id")
+    vectors = t.embeddings.join(t.documents, same, "left_semi")
+    near = knn.knn(vectors, vectors, hybrid.DEPTH, query_key="vec_id", corpus_key="vec_id")
+    asked = t.documents.join(t.embeddings, same, "left_semi")
     words = keyword.match_rank(asked, _texts(t), hybrid.DEPTH, query_key="doc_id", query_text="text")
     fused = knn.top_per_query(hybrid.fuse(near, words), 10, [F.col("score").desc(), F.col("id")])
     return fused.withColumn("score", F.round("score", 9))
