@@ -57,6 +57,22 @@ def analyze(text: Column, language: str = "simple") -> Column:
     raise ValueError(f"unknown language {language!r}")
 
 
+def analyze_placed(text: Column, language: str = "simple") -> Column:
+    """array<struct<lexeme, pos>>: lexemes with their place among all words, from 1.
+
+    Stop words are left out but still take up a place.
+    """
+    pairs = F.transform(tokens(text), lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("pos")))
+    if language == "simple":
+        return pairs
+    if language == "english":
+        kept = F.filter(pairs, lambda p: ~p["lexeme"].isin(ENGLISH_STOPWORDS))
+        return F.zip_with(
+            _stem_arrays(kept["lexeme"]), kept["pos"], lambda w, p: F.struct(w.alias("lexeme"), p.alias("pos"))
+        )
+    raise ValueError(f"unknown language {language!r}")
+
+
 def _runs(ordered: Column, lexeme_at, make) -> Column:
     """One value per run of equal lexemes in a sorted array; ``make(start, length)`` builds it."""
     starts = F.filter(
@@ -85,22 +101,22 @@ def term_counts(words: Column) -> Column:
     return F.when(F.size(words) > 0, let(F.sort_array(words), counted)).otherwise(none)
 
 
-def term_positions(words: Column) -> Column:
-    """array<struct<lexeme, positions>> of a token array; positions count from 1 and ascend."""
+def term_positions(placed: Column) -> Column:
+    """array<struct<lexeme, tf, positions>> of placed lexemes, sorted by lexeme, positions ascending."""
 
-    def placed(s):
+    def gathered(s):
         return _runs(
             s,
             lambda i: F.get(s, i)["lexeme"],
             lambda start, n: F.struct(
                 F.get(s, start)["lexeme"].alias("lexeme"),
+                n.alias("tf"),
                 F.transform(F.slice(s, start + 1, n), lambda x: x["pos"]).alias("positions"),
             ),
         )
 
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("pos")))
-    none = F.expr("CAST(array() AS array<struct<lexeme:string,positions:array<int>>>)")
-    return F.when(F.size(words) > 0, let(F.sort_array(pairs), placed)).otherwise(none)
+    none = F.expr("CAST(array() AS array<struct<lexeme:string,tf:int,positions:array<int>>>)")
+    return F.when(F.size(placed) > 0, let(F.sort_array(placed), gathered)).otherwise(none)
 
 
 def words_of(text: Column) -> Column:

@@ -138,6 +138,42 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
     return keyword.match_rank(texts, texts, 10, query_key="id", query_text="content")
 
 
+@plan("keyword_ts_rank", f"""
+WITH toks AS (SELECT doc_id AS id, {_tokens('text')} AS ws FROM documents),
+post AS (SELECT id, w, least(pos, 16383) AS pos FROM (
+    SELECT id, w, pos, row_number() OVER (PARTITION BY id, w ORDER BY pos) AS n
+    FROM (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM toks)
+) WHERE n <= 255),
+qt AS (SELECT DISTINCT item_id AS query_id, w FROM (SELECT item_id, unnest({_tokens('text')}) AS w FROM benchmark)),
+qn AS (SELECT query_id, count(*) AS nw FROM qt GROUP BY query_id),
+matched AS (
+    SELECT query_id, id FROM qt JOIN (SELECT DISTINCT id, w FROM post) USING (w) GROUP BY query_id, id
+    HAVING count(*) = (SELECT nw FROM qn WHERE qn.query_id = qt.query_id)
+),
+placed AS (SELECT m.query_id, m.id, p.w, p.pos FROM matched m JOIN qt USING (query_id) JOIN post p ON p.id = m.id AND p.w = qt.w),
+pairs AS (
+    SELECT a.query_id, a.id, abs(a.pos - b.pos) AS d FROM placed a JOIN placed b
+    ON a.query_id = b.query_id AND a.id = b.id AND a.w < b.w
+),
+scored AS (
+    SELECT query_id, id, round(1 - exp(sum(ln(1 - 0.1::DOUBLE * sqrt(
+        CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(d / 1.5::DOUBLE - 2)) END)))), 6) AS score
+    FROM pairs WHERE d > 0 GROUP BY query_id, id
+    UNION ALL
+    SELECT query_id, id, round(0.1::DOUBLE * sum(1.0::DOUBLE / (n * n)) / 1.64493406685::DOUBLE, 6)
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY pos) AS n FROM placed JOIN qn USING (query_id) WHERE nw = 1)
+    GROUP BY query_id, id
+)
+SELECT query_id, id, score, CAST(r AS BIGINT) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM scored
+) WHERE r <= 10
+""")
+def keyword_ts_rank(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return keyword.match_rank(passages, _texts(t), 10, ranking="ts_rank")
+
+
 @plan("keyword_topk_indexed", f"""
 WITH {keyword_sql(_PASSAGES, _TEXTS, 10)}
 SELECT query_id, id, score, CAST(r AS BIGINT) AS rank FROM kw

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.stemmer import stem
-from lodestone.functions.text import analyze, term_counts, term_positions
+from lodestone.functions.text import analyze, analyze_placed, term_counts, term_positions
 from lodestone.operators.keyword import TextIndex, document_frequencies, match_rank, postings
 
 
@@ -116,8 +116,8 @@ def test_english_analysis(spark):
 
 
 def test_terms_inside_the_row(spark):
-    df = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],)], "w array<string>").select(
-        term_counts(F.col("w")).alias("c"), term_positions(F.col("w")).alias("p")
+    df = spark.createDataFrame([("b a b",), ("",), ("x",)], "t string").select(
+        term_counts(analyze(F.col("t"))).alias("c"), term_positions(analyze_placed(F.col("t"))).alias("p")
     )
     got = [([tuple(x) for x in r.c], [(x.lexeme, x.positions) for x in r.p]) for r in df.collect()]
     assert got == [
@@ -125,6 +125,36 @@ def test_terms_inside_the_row(spark):
     ]
 
 
+def test_stop_words_take_up_a_place(spark):
+    df = spark.createDataFrame([("The grants of the universities",)], "t string")
+    got = df.select(analyze_placed(F.col("t"), "english").alias("p")).first().p
+    assert [(x.lexeme, x.pos) for x in got] == [("grant", 2), ("univers", 5)]
+
+
+@pytest.mark.parametrize(
+    ("content", "query", "score"),
+    [
+        # Known ranks of the text-search functions this stands in for.
+        ("a", "a", 0.060793), ("a a", "a", 0.075991), ("a b", "a b", 0.099103), ("a x b", "a b", 0.098500),
+    ],
+)
+def test_ts_rank(spark, content, query, score):
+    c = spark.createDataFrame([(1, content)], "id long, content string")
+    q = spark.createDataFrame([(1, query)], "query_id long, query_text string")
+    assert match_rank(q, c, 5, ranking="ts_rank").first().score == pytest.approx(score, abs=2e-6)
+
+
+def test_ts_rank_prefers_close_words(spark, tmp_path):
+    texts = ["red one two three blue", "red blue", "blue red red", "red", "blue " + "x " * 200 + "red"]
+    c = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "id long, table_name string, content string")
+    q = spark.createDataFrame([(1, "Red Blue")], "query_id long, query_text string")
+    path = str(tmp_path / "index")
+    TextIndex.write(c, path, buckets=2)
+    for source in (c, TextIndex.read(spark, path)):
+        hits = match_rank(q, source, 5, ranking="ts_rank").orderBy("rank").collect()
+        assert [h.id for h in hits] == [2, 1, 0, 4]
+
+
 def test_postings_and_frequencies(spark):
     c = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "")], "id long, content string")
     got = {(r.lexeme, r.id): (r.tf, r.n_tokens, r.positions) for r in postings(c).collect()}
