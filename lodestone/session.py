@@ -25,18 +25,20 @@ def build_session(app: str = "lodestone", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def _base_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one of our own with a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a folder all executors share; "
-            "a machine-local folder is only used with a local master"
-        )
-    base = tempfile.mkdtemp(prefix="lodestone-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="lodestone-")
+    return _local_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

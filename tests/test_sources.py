@@ -143,6 +143,21 @@ def test_fk_check_counts_orphans(spark):
     assert (got.rows_total, got.orphans) == (5, 2)
 
 
+def test_scratch_folder_comes_from_the_session():
+    from types import SimpleNamespace
+
+    from lodestone.session import _base_dir
+
+    def session(master, **conf):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k, d)), sparkContext=context)
+
+    assert _base_dir(session("yarn", **{"spark.checkpoint.dir": "hdfs://shared/scratch/"})) == "hdfs://shared/scratch"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _base_dir(session("yarn"))
+    assert _base_dir(session("local[2]")) == _base_dir(session("local[2]"))
+
+
 def test_scratch_and_stage(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     staged = stage(spark.range(10).withColumn("s", F.lit("a")))
