@@ -9,7 +9,7 @@ from lodestone.operators.relational import money
 from lodestone.plans.registry import Tables, plan
 from lodestone.plans.standins import ASK, CORPUS_SQL, ITEMS_SQL, RUNS_SQL, corpus, ops_items, ops_runs
 from lodestone.session import scratch_path
-from lodestone.sources.store import RunHistory, read_store, upsert_into
+from lodestone.sources.store import EmbeddingStore, RunHistory
 from lodestone.sources.tables import export_by_fiscal_year, ingest, page_text, parquet_reader, register_tables
 
 
@@ -109,8 +109,9 @@ SELECT id, table_name, column_name, row_id, content, embedding[1]::DOUBLE AS fir
 """)
 def upsert_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    path = scratch_path(spark, "store")
-    corpus(t).select("id", "table_name", "column_name", "row_id", "content", "embedding").write.parquet(f"{path}/v=1")
+    store = EmbeddingStore(spark, scratch_path(spark, "store"))
+    base = corpus(t).select("id", "table_name", "column_name", "row_id", "content", "embedding")
+    base.write.parquet(f"{store.path}/v=1/batch=0")
     known = (
         t.documents.join(t.labels, "doc_id", "left_semi")
         .join(t.embeddings, F.col("vec_id") == F.col("doc_id") % 50, "left")
@@ -124,8 +125,8 @@ def upsert_embeddings(spark: SparkSession, folder: str) -> DataFrame:
         F.col("item_id").cast("string").alias("row_id"), F.col("text").alias("content"),
         F.lit(None).cast("array<float>").alias("embedding"),
     )
-    upsert_into(spark, path, known.unionByName(new))
-    return read_store(spark, path).select(
+    store.upsert(known.unionByName(new))
+    return store.read().select(
         "id", "table_name", "column_name", "row_id", "content",
         F.get("embedding", F.lit(0)).cast("double").alias("first_value"),
     )

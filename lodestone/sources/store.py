@@ -1,15 +1,18 @@
 """Run history and embedding store kept as versioned Parquet folders.
 
-A change writes the next version beside the last and readers take the newest
+A rewrite makes the next version beside the last and readers take the newest
 finished one, so a job lost half way leaves the data as it was. Appending a run
-only adds files.
+and upserting a batch only add files.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.relational import latest_per
 from lodestone.operators.sampling import numbered
 from lodestone.session import stage
 
@@ -115,13 +118,13 @@ class RunHistory:
 # --- embedding store -------------------------------------------------------------
 
 
-def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """``store`` with ``batch`` put in: a known key keeps its id and gets the new content and
-    vector, a new key gets an id after the largest so far.
+def changes(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows an upsert of ``batch`` writes: a known key keeps its id and gets the new content
+    and vector, a new key gets an id after the largest so far.
 
-    A key repeated within the batch is put in once, with its greatest content. The
-    batch is staged, so against a small batch the store is filtered in place, and
-    only a batch too large to broadcast makes it shuffle.
+    A key repeated within the batch is taken once, with its greatest content. The batch
+    is staged, so against a small batch the store's keys are scanned in place, and only
+    a batch too large to broadcast makes them shuffle.
     """
     incoming = stage(
         batch.groupBy(*STORE_KEY)
@@ -130,25 +133,66 @@ def upsert(store: DataFrame, batch: DataFrame) -> DataFrame:
         "upsert-batch",
     )
     columns = ["id", *STORE_KEY, "content", "embedding"]
-    untouched = store.join(incoming.select(*STORE_KEY), STORE_KEY, "left_anti").select(*columns)
-    matched = stage(store.select("id", *STORE_KEY).join(incoming.select(*STORE_KEY), STORE_KEY), "upsert-matched")
-    replaced = matched.join(incoming, STORE_KEY).select(*columns)
+    known = stage(store.select("id", *STORE_KEY).join(incoming.select(*STORE_KEY), STORE_KEY), "upsert-known")
+    replaced = known.join(incoming, STORE_KEY).select(*columns)
     last = store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    added = incoming.join(matched.select(*STORE_KEY), STORE_KEY, "left_anti").withColumn(
+    added = incoming.join(known.select(*STORE_KEY), STORE_KEY, "left_anti").withColumn(
         "_key", F.concat_ws("\u0001", *STORE_KEY)
     )
     added = numbered(added, "_key").withColumn("id", F.lit(last) + F.col("position")).select(*columns)
-    return untouched.unionByName(replaced).unionByName(added)
+    return replaced.unionByName(added)
+
+
+class EmbeddingStore:
+    """The embedding store as a base and the batches upserted since. One writer at a time.
 
+    An upsert writes the batch and nothing else, however large the store. Reading puts
+    the newest row of each changed key in place of the base's; the base is filtered
+    where it lies, since the few changed keys are broadcast. ``compact`` folds the
+    batches into a new base, which happens by itself every ``MAX_BATCHES`` upserts.
+    """
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    version = latest_version(spark, path)
-    if not version:
-        return spark.createDataFrame([], STORE_SCHEMA)
-    return spark.read.schema(STORE_SCHEMA).parquet(f"{path}/v={version}")
+    MAX_BATCHES = 16
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
-def upsert_into(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """Upsert into the versioned store at ``path``, creating it if need be."""
-    merged = upsert(read_store(spark, path), batch)
-    merged.write.parquet(f"{path}/v={latest_version(spark, path) + 1}")
+    def _version(self) -> int:
+        return latest_version(self.spark, self.path, "batch=0/_SUCCESS")
+
+    def _batches(self, version: int) -> list[int]:
+        if not version:
+            return []
+        fs, p = _fs(self.spark, f"{self.path}/v={version}")
+        numbers = sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(p))
+        return [n for n in numbers if _exists(self.spark, f"{self.path}/v={version}/batch={n}/_SUCCESS")]
+
+    def _rows(self, version: int, batch: int) -> DataFrame:
+        return self.spark.read.schema(STORE_SCHEMA).parquet(f"{self.path}/v={version}/batch={batch}")
+
+    def read(self) -> DataFrame:
+        version = self._version()
+        if not version:
+            return self.spark.createDataFrame([], STORE_SCHEMA)
+        base, *later = self._batches(version)
+        rows = self._rows(version, base)
+        if not later:
+            return rows
+        changed = [self._rows(version, n).withColumn("_batch", F.lit(n)) for n in later]
+        newest = latest_per(reduce(DataFrame.unionByName, changed), STORE_KEY, [F.col("_batch").desc()]).drop("_batch")
+        return rows.join(newest.select(*STORE_KEY), STORE_KEY, "left_anti").select(*newest.columns).unionByName(newest)
+
+    def upsert(self, batch: DataFrame) -> None:
+        version = self._version()
+        batches = self._batches(version)
+        if len(batches) > self.MAX_BATCHES:
+            self.compact()
+            version, batches = version + 1, [0]
+        rows = changes(self.read(), batch)
+        following = batches[-1] + 1 if batches else 0
+        rows.write.mode("overwrite").parquet(f"{self.path}/v={version or 1}/batch={following}")
+
+    def compact(self) -> None:
+        """Fold all batches into a new base, a file per stretch of each table and column."""
+        rows = self.read().hint("rebalance", "table_name", "column_name")
+        rows.write.mode("overwrite").parquet(f"{self.path}/v={self._version() + 1}/batch=0")

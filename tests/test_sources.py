@@ -7,7 +7,7 @@ from lodestone.operators.relational import fiscal_year, fk_check, in_fiscal_year
 from lodestone.operators.sampling import draw, numbered
 from lodestone.operators.store_health import embedding_health, embedding_health_approx, validate_store
 from lodestone.session import scratch_path, spread, stage
-from lodestone.sources.store import STORE_SCHEMA, RunHistory, read_store, upsert_into
+from lodestone.sources.store import STORE_SCHEMA, EmbeddingStore, RunHistory
 from lodestone.sources.tables import (
     chosen_tables, distinct_entries, export_by_fiscal_year, ingest, page_text, parquet_reader, read_table, register_tables,
 )
@@ -72,28 +72,62 @@ def keyed(spark, rows):
     return spark.createDataFrame([("t", "c", k, v, [float(len(v))]) for k, v in rows], KEYED)
 
 
+def contents(store):
+    rows = store.read().collect()
+    found = {r.row_id: (r.id, r.content, r.embedding) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
 def test_upsert(spark, tmp_path):
-    path = str(tmp_path / "store")
-    upsert_into(spark, path, keyed(spark, [("1", "one"), ("2", "two")]))
-    first = {r.row_id: (r.id, r.content) for r in read_store(spark, path).collect()}
-    assert sorted(i for i, _ in first.values()) == [1, 2]
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    assert store.read().count() == 0
+    store.upsert(keyed(spark, [("1", "one"), ("2", "two")]))
+    first = contents(store)
+    assert sorted(i for i, _, _ in first.values()) == [1, 2]
     batch = keyed(spark, [("2", "zwei"), ("3", "three"), ("4", "four")])
-    upsert_into(spark, path, batch)
-    second = {r.row_id: (r.id, r.content, r.embedding) for r in read_store(spark, path).collect()}
-    assert second["1"] == (*first["1"], [3.0])
+    store.upsert(batch)
+    second = contents(store)
+    assert second["1"] == first["1"]
     assert second["2"] == (first["2"][0], "zwei", [4.0])
     assert sorted(second[k][0] for k in "34") == [3, 4]
-    upsert_into(spark, path, batch)
-    third = {r.row_id: (r.id, r.content, r.embedding) for r in read_store(spark, path).collect()}
-    assert third == second
-
-
-def test_unfinished_version_is_ignored(spark, tmp_path):
+    store.upsert(batch)
+    assert contents(store) == second
+    store.compact()
+    assert contents(store) == second
+    store.upsert(keyed(spark, [("3", "drei"), ("5", "five")]))
+    assert contents(store)["3"][:2] == (second["3"][0], "drei") and contents(store)["5"][0] == 5
+
+
+def test_upserts_compact_by_themselves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(EmbeddingStore, "MAX_BATCHES", 2)
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    for n in range(6):
+        store.upsert(keyed(spark, [("same", f"v{n}"), (str(n), "x")]))
+    found = contents(store)
+    assert found["same"][1] == "v5" and sorted(i for i, _, _ in found.values()) == list(range(1, 8))
+    assert (tmp_path / "store" / "v=2").exists()
+
+
+def test_small_batch_does_not_shuffle_the_store(spark, tmp_path):
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    store.upsert(keyed(spark, [(str(i), "text") for i in range(1000)]))
+    store.upsert(keyed(spark, [("7", "new")]))
+    rows = store.read()
+    assert rows.count() == 1000
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().toString()
+
+
+def test_unfinished_batch_is_ignored(spark, tmp_path):
     path = tmp_path / "store"
-    upsert_into(spark, str(path), keyed(spark, [("1", "one")]))
-    (path / "v=2").mkdir()
-    (path / "v=2" / "part-0.parquet").write_text("cut short")
-    assert read_store(spark, str(path)).count() == 1
+    store = EmbeddingStore(spark, str(path))
+    store.upsert(keyed(spark, [("1", "one")]))
+    for lost in ("v=1/batch=1", "v=2/batch=0"):
+        (path / lost).mkdir(parents=True)
+        (path / lost / "part-0.parquet").write_text("cut short")
+    assert contents(store).keys() == {"1"}
+    store.upsert(keyed(spark, [("2", "two")]))
+    assert contents(store).keys() == {"1", "2"}
 
 
 def test_run_history(spark, tmp_path):
