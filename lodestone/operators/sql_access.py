@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,16 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_LIMIT = 1000
+TIMEOUT_SECONDS = 60.0
 
 # Expressions that run code of the caller's choosing inside a SELECT.
 _DENIED = ("CallMethodViaReflection", "TryReflect")
 _EXCLUDED_SCHEMAS = ("information_schema",)
+# Schemas of a database that its digest leaves out.
+_CATALOG_SCHEMAS = ("pg_catalog", "information_schema", "ai")
 
 
 class QueryRefused(ValueError):
     pass
 
 
+class QueryTimedOut(RuntimeError):
+    pass
+
+
 @dataclass(frozen=True)
 class BoundedResult:
     """A query's columns and at most ``cap`` rows; nothing runs until the rows are asked for."""
@@ -30,8 +39,28 @@ class BoundedResult:
     def columns(self) -> list[str]:
         return self.frame.columns
 
-    def fetch(self) -> dict:
-        rows = [list(r) for r in self.frame.collect()]
+    def fetch(self, timeout: float = TIMEOUT_SECONDS) -> dict:
+        """Run the query; its jobs are cancelled once ``timeout`` seconds have passed."""
+        context = self.frame.sparkSession.sparkContext
+        group = f"bounded-{uuid.uuid4().hex}"
+        late = threading.Event()
+
+        def stop():
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout, stop)
+        context.setJobGroup(group, "bounded query", interruptOnCancel=True)
+        timer.start()
+        try:
+            rows = [list(r) for r in self.frame.collect()]
+        except Exception as e:
+            if late.is_set():
+                raise QueryTimedOut(f"cancelled after {timeout} s") from e
+            raise
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
         return {"columns": self.columns, "rows": rows, "row_count": len(rows)}
 
 
@@ -116,25 +145,70 @@ def declared_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataF
     return spark.createDataFrame(rows, "table_name string, ordinal long, column_name string, data_type string")
 
 
-def digest_text(digest: DataFrame, references: list[tuple[str, str, str, str]] = ()) -> DataFrame:
-    """(table_name, text): the digest of each table as lines, key references last."""
-    line = F.concat(
-        F.lit("- "), "column_name", F.lit(" "), "data_type",
-        F.when((F.col("rows_total") > 0) & (F.col("nulls") == 0), " NOT NULL").otherwise(""),
+def catalog_columns(columns: DataFrame, excluded=_CATALOG_SCHEMAS) -> DataFrame:
+    """(table_name, ordinal, column_name, data_type, nullable) from a database's own listing.
+
+    ``columns`` has table_schema, table_name, column_name, ordinal_position, data_type
+    and is_nullable (YES or NO), as read over JDBC for instance.
+    """
+    return columns.where(~F.col("table_schema").isin(*excluded)).select(
+        F.concat_ws(".", "table_schema", "table_name").alias("table_name"),
+        F.col("ordinal_position").cast("long").alias("ordinal"),
+        "column_name",
+        "data_type",
+        (F.col("is_nullable") == "YES").alias("nullable"),
     )
-    lines = digest.select("table_name", F.struct("ordinal", line.alias("line")).alias("l"))
-    if references:
-        fk = digest.sparkSession.createDataFrame(
-            [(c, 1_000_000 + i, f"- FK {col} -> {p}.{key}") for i, (c, col, p, key) in enumerate(references)],
-            "table_name string, ordinal long, line string",
-        )
-        known = digest.select("table_name").distinct()
+
+
+def catalog_references(
+    constraints: DataFrame, key_columns: DataFrame, referenced: DataFrame, excluded=_CATALOG_SCHEMAS
+) -> DataFrame:
+    """(child, column_name, parent, parent_column) from a database's three listings of constraints."""
+    of_constraint = ["constraint_name", "constraint_schema"]
+    foreign = constraints.where(
+        (F.col("constraint_type") == "FOREIGN KEY") & ~F.col("table_schema").isin(*excluded)
+    ).select("constraint_name", F.col("table_schema").alias("constraint_schema"))
+    child = key_columns.select(
+        "constraint_name", F.col("table_schema").alias("constraint_schema"),
+        F.concat_ws(".", "table_schema", "table_name").alias("child"), "column_name",
+    )
+    parent = referenced.select(
+        "constraint_name", "constraint_schema",
+        F.concat_ws(".", "table_schema", "table_name").alias("parent"), F.col("column_name").alias("parent_column"),
+    )
+    return foreign.join(child, of_constraint).join(parent, of_constraint).select(
+        "child", "column_name", "parent", "parent_column"
+    )
+
+
+def digest_text(digest: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """(table_name, text): each table's columns as lines, then its references.
+
+    ``digest`` comes from ``schema_digest``, where NOT NULL is what the data shows, or
+    from ``catalog_columns``; ``references`` holds child, column_name, parent and
+    parent_column.
+    """
+    if "nullable" in digest.columns:
+        not_null = ~F.col("nullable")
+    else:
+        not_null = (F.col("rows_total") > 0) & (F.col("nulls") == 0)
+    line = F.concat(F.lit("- "), "column_name", F.lit(" "), "data_type", F.when(not_null, " NOT NULL").otherwise(""))
+    lines = digest.select("table_name", F.lit(0).alias("part"), "ordinal", line.alias("line"))
+    if references is not None:
+        arrow = F.concat(F.lit("- FK "), "column_name", F.lit(" -> "), "parent", F.lit("."), "parent_column")
         lines = lines.unionByName(
-            fk.join(known, "table_name", "left_semi").select("table_name", F.struct("ordinal", "line").alias("l"))
+            references.select(
+                F.col("child").alias("table_name"), F.lit(1).alias("part"),
+                F.lit(0).cast("long").alias("ordinal"), arrow.alias("line"),
+            )
+        )
+    # A table with references but no columns is not in the digest.
+    return (
+        lines.groupBy("table_name")
+        .agg(F.sort_array(F.collect_list(F.struct("part", "ordinal", "line"))).alias("l"))
+        .where(F.col("l")[0]["part"] == 0)
+        .select(
+            "table_name",
+            F.concat(F.lit("## "), "table_name", F.lit("\n"), F.array_join("l.line", "\n")).alias("text"),
         )
-    return lines.groupBy("table_name").agg(
-        F.concat(
-            F.lit("## "), F.first("table_name"), F.lit("\n"),
-            F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n"),
-        ).alias("text")
     )

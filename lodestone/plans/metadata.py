@@ -76,13 +76,16 @@ def _line_sql(t: str, at: int, name: str, kind: str) -> str:
 
 @plan("schema_digest_text", "WITH lines AS (" + " UNION ALL ".join(
     [_line_sql(*c) for c in _declared()]
-    + [f"SELECT '{c}', {1_000_000 + i}, '- FK {col} -> {p}.{key}'" for i, (c, col, p, key) in enumerate(FOREIGN_KEYS)]
+    + [f"SELECT '{c}', 1000, '- FK {col} -> {p}.{key}'" for c, col, p, key in FOREIGN_KEYS]
 ) + """)
-SELECT table_name, '## ' || table_name || chr(10) || string_agg(line, chr(10) ORDER BY ordinal) AS text
+SELECT table_name, '## ' || table_name || chr(10) || string_agg(line, chr(10) ORDER BY ordinal, line) AS text
 FROM lines GROUP BY table_name
 """)
 def digest_as_text(spark: SparkSession, folder: str) -> DataFrame:
-    return digest_text(schema_digest(_tables(spark, folder)), FOREIGN_KEYS)
+    references = spark.createDataFrame(
+        FOREIGN_KEYS, "child string, column_name string, parent string, parent_column string"
+    )
+    return digest_text(schema_digest(_tables(spark, folder)), references)
 
 
 @plan("digest_column_count", "SELECT count(*) AS columns_in_digest FROM (" + " UNION ALL ".join(

@@ -1,6 +1,10 @@
 import pytest
 
-from lodestone.operators.sql_access import QueryRefused, bounded_query, digest_text, schema_digest
+from lodestone.operators.sql_access import (
+    QueryRefused, QueryTimedOut, bounded_query, catalog_columns, catalog_references, digest_text, schema_digest,
+)
+
+REFERENCES = "child string, column_name string, parent string, parent_column string"
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +64,42 @@ def test_digest_measures_not_null(spark):
     assert {name for name, _ in rows} == {"pub.t", "a"}
     assert rows["pub.t", "name"].nulls == 1 and rows["pub.t", "k"].nulls == 0
     assert rows["pub.t", "k"].distinct_approx == 2
-    text = {r.table_name: r.text for r in digest_text(schema_digest(tables), [("pub.t", "k", "a", "k")]).collect()}
+    references = spark.createDataFrame([("pub.t", "k", "a", "k"), ("lost", "x", "a", "k")], REFERENCES)
+    text = {r.table_name: r.text for r in digest_text(schema_digest(tables), references).collect()}
+    assert text.keys() == {"pub.t", "a"}
     assert text["pub.t"] == "## pub.t\n- k bigint NOT NULL\n- name string\n- v array<float>\n- FK k -> a.k"
     assert text["a"] == "## a\n- k bigint"
+
+
+def test_digest_from_a_database_listing(spark):
+    columns = spark.createDataFrame(
+        [
+            ("public", "agency", "id", 1, "integer", "NO"), ("public", "agency", "created", 2, "date", "YES"),
+            ("public", "office", "agency_id", 1, "integer", "YES"), ("pg_catalog", "pg_class", "oid", 1, "oid", "NO"),
+        ],
+        "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string",
+    )
+    constraints = spark.createDataFrame(
+        [("fk_office", "public", "FOREIGN KEY"), ("pk_agency", "public", "PRIMARY KEY"), ("fk_office", "ai", "FOREIGN KEY")],
+        "constraint_name string, table_schema string, constraint_type string",
+    )
+    keys = spark.createDataFrame(
+        [("fk_office", "public", "office", "agency_id"), ("pk_agency", "public", "agency", "id"), ("fk_office", "ai", "x", "y")],
+        "constraint_name string, table_schema string, table_name string, column_name string",
+    )
+    referenced = spark.createDataFrame(
+        [("fk_office", "public", "public", "agency", "id"), ("fk_office", "ai", "ai", "z", "id")],
+        "constraint_name string, constraint_schema string, table_schema string, table_name string, column_name string",
+    )
+    text = digest_text(catalog_columns(columns), catalog_references(constraints, keys, referenced))
+    assert {r.table_name: r.text for r in text.collect()} == {
+        "public.agency": "## public.agency\n- id integer NOT NULL\n- created date",
+        "public.office": "## public.office\n- agency_id integer\n- FK agency_id -> public.agency.id",
+    }
+
+
+def test_slow_query_is_cancelled(spark):
+    slow = "SELECT max(hash(a.id, b.id)) FROM range(2000000) a JOIN range(2000000) b ON a.id <> b.id"
+    with pytest.raises(QueryTimedOut):
+        bounded_query(spark, slow).fetch(timeout=2)
+    assert bounded_query(spark, "SELECT 1 AS one").fetch()["rows"] == [[1]]
