@@ -100,51 +100,44 @@ def bounded_query(spark: SparkSession, sql: str, args=None, cap: int = ROW_LIMIT
     return BoundedResult(frame)
 
 
-def schema_digest(tables: dict[str, DataFrame], approx_distinct: bool = False) -> DataFrame:
-    """(table_name, ordinal, column_name, data_type, rows_total, nulls[, distinct_approx]).
+def schema_digest(
+    tables: dict[str, DataFrame], nulls: bool = True, approx_distinct: bool = False
+) -> DataFrame:
+    """(table_name, ordinal, column_name, data_type, rows_total[, nulls][, distinct_approx]).
 
     One pass per table, every column counted at once. Parquet declares all columns
-    nullable, so NOT NULL is what the data shows: ``nulls = 0``. Tables are named
-    ``schema.name`` or bare; those of excluded schemas are left out.
+    nullable, so NOT NULL is what the data shows: ``nulls = 0``. Without counting nulls
+    only the file footers are read. Tables are named ``schema.name`` or bare; those of
+    excluded schemas are left out.
     """
 
     def one(name: str, df: DataFrame) -> DataFrame:
         fields = df.schema.fields
-        measures: list[Column] = [F.count("*").alias("_rows")]
+        total = F.count("*")
+        measures: list[Column] = [total.alias("_rows")]
+        rows = []
         for i, f in enumerate(fields):
-            measures.append(F.count(F.col(f"`{f.name}`")).alias(f"_known{i}"))
+            column = F.col(f"`{f.name}`")
+            row = {
+                "table_name": F.lit(name),
+                "ordinal": F.lit(i + 1).cast("long"),
+                "column_name": F.lit(f.name),
+                "data_type": F.lit(f.dataType.simpleString()),
+                "rows_total": F.col("_rows"),
+            }
+            if nulls:
+                measures.append((total - F.count(column)).alias(f"_nulls{i}"))
+                row["nulls"] = F.col(f"_nulls{i}")
             if approx_distinct:
-                measures.append(F.approx_count_distinct(F.col(f"`{f.name}`")).alias(f"_approx{i}"))
-        rows = [
-            F.struct(
-                F.lit(name).alias("table_name"),
-                F.lit(i + 1).cast("long").alias("ordinal"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.col("_rows").alias("rows_total"),
-                (F.col("_rows") - F.col(f"_known{i}")).alias("nulls"),
-                *([F.col(f"_approx{i}").alias("distinct_approx")] if approx_distinct else []),
-            )
-            for i, f in enumerate(fields)
-        ]
+                measures.append(F.approx_count_distinct(column).alias(f"_distinct{i}"))
+                row["distinct_approx"] = F.col(f"_distinct{i}")
+            rows.append(F.struct(*[value.alias(key) for key, value in row.items()]))
         return df.agg(*measures).select(F.inline(F.array(*rows)))
 
-    chosen = {
-        n: df for n, df in tables.items() if n.partition(".")[0] not in _EXCLUDED_SCHEMAS or "." not in n
-    }
+    chosen = {n: df for n, df in tables.items() if n.rpartition(".")[0] not in _EXCLUDED_SCHEMAS}
     return reduce(DataFrame.unionByName, [one(n, df) for n, df in sorted(chosen.items())])
 
 
-def declared_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, ordinal, column_name, data_type) from the table footers, no data read."""
-    rows = [
-        (name, i + 1, f.name, f.dataType.simpleString())
-        for name, df in sorted(tables.items())
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return spark.createDataFrame(rows, "table_name string, ordinal long, column_name string, data_type string")
-
-
 def catalog_columns(columns: DataFrame, excluded=_CATALOG_SCHEMAS) -> DataFrame:
     """(table_name, ordinal, column_name, data_type, nullable) from a database's own listing.
 

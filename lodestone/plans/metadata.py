@@ -92,7 +92,7 @@ def digest_as_text(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT '{name}' AS c, count(*) AS n FROM {t}" for t, _, name, _ in _declared()
 ) + ")")
 def digest_column_count(spark: SparkSession, folder: str) -> DataFrame:
-    return schema_digest(_tables(spark, folder)).agg(F.count("*").alias("columns_in_digest"))
+    return schema_digest(_tables(spark, folder), nulls=False).agg(F.count("*").alias("columns_in_digest"))
 
 
 @plan("list_columns", " UNION ALL ".join(
@@ -101,7 +101,7 @@ def digest_column_count(spark: SparkSession, folder: str) -> DataFrame:
 ))
 def list_columns(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        schema_digest({"lineitem": Tables(spark, folder).lineitem})
+        schema_digest({"lineitem": Tables(spark, folder).lineitem}, nulls=False)
         .where(F.col("table_name") == "lineitem").select("column_name", "ordinal").orderBy("ordinal")
     )
 
