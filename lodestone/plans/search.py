@@ -140,9 +140,11 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan("keyword_ts_rank", f"""
 WITH toks AS (SELECT doc_id AS id, {_tokens('text')} AS ws FROM documents),
-post AS (SELECT id, w, least(pos, 16383) AS pos FROM (
-    SELECT id, w, pos, row_number() OVER (PARTITION BY id, w ORDER BY pos) AS n
-    FROM (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM toks)
+post AS (SELECT id, w, pos FROM (
+    SELECT id, w, pos, row_number() OVER (PARTITION BY id, w ORDER BY pos) AS n FROM (
+        SELECT DISTINCT id, w, least(pos, 16383) AS pos
+        FROM (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM toks)
+    )
 ) WHERE n <= 255),
 qt AS (SELECT DISTINCT item_id AS query_id, w FROM (SELECT item_id, unnest({_tokens('text')}) AS w FROM benchmark)),
 qn AS (SELECT query_id, count(*) AS nw FROM qt GROUP BY query_id),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.relational import money
 from lodestone.plans.registry import Tables, plan
-from lodestone.plans.standins import ASK, CORPUS_SQL, ITEMS_SQL, RUNS_SQL, corpus, ops_items, ops_runs
+from lodestone.plans.standins import ASK, CORPUS_SQL, ITEMS_SQL, corpus, ops_items, ops_runs
 from lodestone.session import scratch_path
 from lodestone.sources.store import EmbeddingStore, RunHistory
 from lodestone.sources.tables import export_by_fiscal_year, ingest, page_text, parquet_reader, register_tables

@@ -60,7 +60,8 @@ def compare(spark, con, folder: str, name: str) -> str:
         return f"columns {columns} != {want_columns}"
     if got != want:
         extra, lost = list((got - want).items())[:2], list((want - got).items())[:2]
-        return f"{sum(got.values())} rows, expected {sum(want.values())}; extra {extra!s:.600} missing {lost!s:.600}"
+        counts = f"{sum(got.values())} rows, expected {sum(want.values())}"
+        return f"{counts}; extra {extra!s:.600} missing {lost!s:.600}"
     if not got:
         return "no rows on either side"
     return ""
@@ -68,7 +69,8 @@ def compare(spark, con, folder: str, name: str) -> str:
 
 def main() -> int:
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", **quiet})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0
