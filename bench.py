@@ -17,17 +17,17 @@ from lodestone.plans import PLANS
 from lodestone.session import build_session
 
 HEADLINE = (
-    # search: one batch of queries against the whole store
-    "search_eval", "hybrid_search", "hybrid_search_table", "rrf_fuse", "keyword_topk", "match_all_terms",
-    "knn_cosine", "knn_lsh",
-    # building the store
-    "embed_column", "build_postings", "upsert_embeddings", "embedding_health", "collapsed_vectors",
-    "perturb_queries", "stratified_sample", "embed_batches",
     # SQL and reports
     "count_rows", "list_columns", "regex_top5", "ilike_count", "bounded_query", "schema_digest", "fk_check",
     "top_recipients", "top_counterparts", "pass_rate", "recall_pivot", "recall_at_k",
     # files and sinks
     "load_ask_items", "load_search_maps", "export_fiscal_year", "ingest_selected", "score_responses",
+    # building the store
+    "embed_column", "build_postings", "upsert_embeddings", "embedding_health", "collapsed_vectors",
+    "perturb_queries", "stratified_sample", "embed_batches",
+    # search: one batch of queries against the whole store
+    "search_eval", "hybrid_search", "hybrid_search_table", "rrf_fuse", "keyword_topk", "keyword_topk_indexed",
+    "match_all_terms", "keyword_ts_rank", "knn_cosine", "knn_lsh",
 )
 
 

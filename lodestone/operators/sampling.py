@@ -14,9 +14,13 @@ def eligible(df: DataFrame, column: str, min_length: int = 8) -> DataFrame:
     return df.where(F.col(column).isNotNull() & (F.length(column) >= min_length))
 
 
-def sample_pct(df: DataFrame, pct: float, seed: int = 42) -> DataFrame:
-    """About ``pct`` percent of the rows, drawn row by row while scanning."""
-    return df.sample(pct / 100, seed)
+def sample_pct(df: DataFrame, pct: float, key: str, seed: int = 42) -> DataFrame:
+    """About ``pct`` percent of the rows, decided row by row from the key while scanning.
+
+    The same rows come out however the table is cut into files and tasks.
+    """
+    place = F.conv(F.substring(draw(key, seed), 1, 8), 16, 10).cast("long")
+    return df.where(place < int(pct / 100 * (1 << 32)))
 
 
 def random_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -444,9 +444,12 @@ def search_eval(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.search_eval(store, make_embedder)
 
 
-@plan("sample_pct")
+@plan("sample_pct", """
+SELECT doc_id, source FROM documents
+WHERE ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT < CAST(floor(0.1 * 4294967296) AS BIGINT)
+""")
 def sample_pct(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.sample_pct(Tables(spark, folder).documents, 10).select("doc_id", "source")
+    return sampling.sample_pct(Tables(spark, folder).documents, 10, "doc_id").select("doc_id", "source")
 
 
 @plan("stratified_sample", """

@@ -110,8 +110,7 @@ SELECT id, table_name, column_name, row_id, content, embedding[1]::DOUBLE AS fir
 def upsert_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     store = EmbeddingStore(spark, scratch_path(spark, "store"))
-    base = corpus(t).select("id", "table_name", "column_name", "row_id", "content", "embedding")
-    base.write.parquet(f"{store.path}/v=1/batch=0")
+    store.replace(corpus(t))
     known = (
         t.documents.join(t.labels, "doc_id", "left_semi")
         .join(t.embeddings, F.col("vec_id") == F.col("doc_id") % 50, "left")

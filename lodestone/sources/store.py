@@ -150,6 +150,7 @@ class EmbeddingStore:
     the newest row of each changed key in place of the base's; the base is filtered
     where it lies, since the few changed keys are broadcast. ``compact`` folds the
     batches into a new base, which happens by itself every ``MAX_BATCHES`` upserts.
+    Files are partitioned by table and column, so a search of one table reads no other.
     """
 
     MAX_BATCHES = 16
@@ -168,7 +169,8 @@ class EmbeddingStore:
         return [n for n in numbers if _exists(self.spark, f"{self.path}/v={version}/batch={n}/_SUCCESS")]
 
     def _rows(self, version: int, batch: int) -> DataFrame:
-        return self.spark.read.schema(STORE_SCHEMA).parquet(f"{self.path}/v={version}/batch={batch}")
+        rows = self.spark.read.schema(STORE_SCHEMA).parquet(f"{self.path}/v={version}/batch={batch}")
+        return rows.select("id", *STORE_KEY, "content", "embedding")
 
     def read(self) -> DataFrame:
         version = self._version()
@@ -189,10 +191,21 @@ class EmbeddingStore:
             self.compact()
             version, batches = version + 1, [0]
         rows = changes(self.read(), batch)
-        following = batches[-1] + 1 if batches else 0
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version or 1}/batch={following}")
+        self._write(rows, version or 1, batches[-1] + 1 if batches else 0)
+
+    def replace(self, rows: DataFrame) -> None:
+        """Make ``rows``, ids included, the new base."""
+        self._write(rows, self._version() + 1, 0)
 
     def compact(self) -> None:
-        """Fold all batches into a new base, a file per stretch of each table and column."""
-        rows = self.read().hint("rebalance", "table_name", "column_name")
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={self._version() + 1}/batch=0")
+        """Fold all batches into a new base."""
+        self.replace(self.read())
+
+    def _write(self, rows: DataFrame, version: int, batch: int) -> None:
+        # Rebalanced, a small table is one file and a large one is written by many tasks.
+        (
+            rows.select("id", *STORE_KEY, "content", "embedding")
+            .hint("rebalance", "table_name", "column_name")
+            .write.mode("overwrite").partitionBy("table_name", "column_name")
+            .parquet(f"{self.path}/v={version}/batch={batch}")
+        )

@@ -12,13 +12,13 @@ from lodestone.operators.keyword import TextIndex, document_frequencies, match_r
 
 
 def brute(queries, corpus, k):
-    docs = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in corpus}
+    docs = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in corpus if t is not None}
     n = len(docs)
     mean = sum(map(len, docs.values())) / n
     df = Counter(w for ws in docs.values() for w in set(ws))
     out = {}
     for qid, text in queries:
-        terms = set(re.findall(r"[^\W_]+", text.lower()))
+        terms = set(re.findall(r"[^\W_]+", (text or "").lower()))
         scored = []
         for i, ws in docs.items():
             tf = Counter(ws)
@@ -41,10 +41,10 @@ def data():
     corpus = [(i, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(150)]
     # A third of the rows are copies, some empty, some odd.
     corpus += [(1000 + i, "Beta, GAMMA: beta!") for i in range(80)]
-    corpus += [(2000, ""), (2001, "  ...  "), (2002, "été 42 Été")]
+    corpus += [(2000, ""), (2001, "  ...  "), (2002, "été 42 Été"), (2003, None)]
     queries = [(i, " ".join(rng.choices(words, k=rng.randint(1, 3)))) for i in range(40)]
     queries += [(100 + i, "gamma beta") for i in range(20)]
-    queries += [(200, ""), (201, "--"), (202, "alpha nowhere"), (203, "42 été"), (204, "beta beta beta")]
+    queries += [(200, ""), (201, "--"), (202, "alpha nowhere"), (203, "42 été"), (204, "beta beta beta"), (205, None)]
     return queries, corpus
 
 

@@ -99,6 +99,15 @@ def test_upsert(spark, tmp_path):
     assert contents(store)["3"][:2] == (second["3"][0], "drei") and contents(store)["5"][0] == 5
 
 
+def test_reading_one_table_of_the_store(spark, tmp_path):
+    store = EmbeddingStore(spark, str(tmp_path / "store"))
+    rows = [("2024", "c", "1", "number-like name", None), ("a.b", "c", "1", "dotted name", None)]
+    store.upsert(spark.createDataFrame(rows, KEYED))
+    one = store.read().where("table_name = '2024'")
+    assert [(r.table_name, r.content) for r in one.collect()] == [("2024", "number-like name")]
+    assert "PartitionFilters: [isnotnull(table_name" in one._jdf.queryExecution().toString()
+
+
 def test_upserts_compact_by_themselves(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(EmbeddingStore, "MAX_BATCHES", 2)
     store = EmbeddingStore(spark, str(tmp_path / "store"))
