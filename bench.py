@@ -26,7 +26,7 @@ HEADLINE = (
     "embed_column", "build_postings", "upsert_embeddings", "embedding_health", "collapsed_vectors",
     "perturb_queries", "stratified_sample", "embed_batches",
     # search: one batch of queries against the whole store
-    "search_eval", "hybrid_search", "hybrid_search_table", "rrf_fuse", "keyword_topk", "keyword_topk_indexed",
+    "search_eval_names", "search_eval", "hybrid_search", "hybrid_search_table", "rrf_fuse", "keyword_topk", "keyword_topk_indexed",
     "match_all_terms", "keyword_ts_rank", "knn_cosine", "knn_lsh",
 )
 

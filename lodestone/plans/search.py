@@ -410,9 +410,10 @@ def perturb_queries(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.perturb_queries(spread(_texts(Tables(spark, folder)), "id"), "id", "content")
 
 
-@plan("search_eval", f"""
-WITH store AS (SELECT doc_id AS id, text AS content FROM documents),
-truth AS (SELECT * FROM store ORDER BY md5('42:' || id), id LIMIT 200),
+def _search_eval_sql(store: str, sample: int) -> str:
+    return f"""
+WITH store AS ({store}),
+truth AS (SELECT * FROM store ORDER BY md5('42:' || id), id LIMIT {sample}),
 {perturb_sql("truth")},
 asked AS (SELECT id * 8 + pno AS query_id, id AS gold, perturbation, query_text FROM perturbed),
 {embed_sql('cvecs', 'store', 'id', 'content')},
@@ -425,23 +426,48 @@ fused AS (
         FROM vec v LEFT JOIN kw ON kw.query_id = v.query_id AND kw.id = v.id
     )
 ),
+hits AS (
+    SELECT 'vector' AS strategy, query_id, id FROM vec WHERE r <= 10
+    UNION ALL SELECT 'bm25', query_id, id FROM kw WHERE r <= 10
+    UNION ALL SELECT 'rrf', query_id, id FROM fused WHERE r <= 10
+),
 marked AS (
-    SELECT 'vector' AS strategy, perturbation, EXISTS (SELECT 1 FROM vec h WHERE h.query_id = a.query_id AND h.id = a.gold AND h.r <= 10) AS hit FROM asked a
-    UNION ALL
-    SELECT 'bm25', perturbation, EXISTS (SELECT 1 FROM kw h WHERE h.query_id = a.query_id AND h.id = a.gold AND h.r <= 10) FROM asked a
-    UNION ALL
-    SELECT 'rrf', perturbation, EXISTS (SELECT 1 FROM fused h WHERE h.query_id = a.query_id AND h.id = a.gold AND h.r <= 10) FROM asked a
+    SELECT s.strategy, a.perturbation, h.id IS NOT NULL AS hit
+    FROM asked a CROSS JOIN (SELECT unnest(['vector', 'bm25', 'rrf']) AS strategy) s
+    LEFT JOIN hits h ON h.strategy = s.strategy AND h.query_id = a.query_id AND h.id = a.gold
 )
 SELECT strategy, perturbation, hits, total, round(hits / greatest(total, 1), 6) AS recall FROM (
     SELECT strategy, perturbation, count(*) FILTER (WHERE hit) AS hits, count(*) AS total FROM marked GROUP BY 1, 2
     UNION ALL
     SELECT strategy, '__overall__', count(*) FILTER (WHERE hit), count(*) FROM marked GROUP BY 1
 )
-""")
-def search_eval(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _texts(Tables(spark, folder))
+"""
+
+
+def _search_eval(texts: DataFrame, sample: int) -> DataFrame:
     store = stage(embedding.embed(spread(texts, "id"), "content", make_embedder), "eval-store")
-    return evaluation.search_eval(store, make_embedder)
+    return evaluation.search_eval(store, make_embedder, sample=sample)
+
+
+@plan("search_eval", _search_eval_sql("SELECT doc_id AS id, text AS content FROM documents", 200))
+def search_eval(spark: SparkSession, folder: str) -> DataFrame:
+    return _search_eval(_texts(Tables(spark, folder)), 200)
+
+
+@plan("search_eval_names", _search_eval_sql("""
+    SELECT p_partkey * 4 AS id, p_name AS content FROM part
+    UNION ALL SELECT c_custkey * 4 + 1, c_name FROM customer
+    UNION ALL SELECT s_suppkey * 4 + 2, s_name FROM supplier
+""", 100))
+def search_eval_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over a store of short names."""
+    t = Tables(spark, folder)
+    names = (
+        t.part.select((F.col("p_partkey") * 4).alias("id"), F.col("p_name").alias("content"))
+        .unionByName(t.customer.select((F.col("c_custkey") * 4 + 1).alias("id"), F.col("c_name").alias("content")))
+        .unionByName(t.supplier.select((F.col("s_suppkey") * 4 + 2).alias("id"), F.col("s_name").alias("content")))
+    )
+    return _search_eval(names, 100)
 
 
 @plan("sample_pct", """

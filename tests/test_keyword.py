@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.stemmer import stem
 from lodestone.functions.text import analyze, analyze_placed, term_counts, term_positions
+from lodestone.operators import keyword
 from lodestone.operators.keyword import TextIndex, document_frequencies, match_rank, postings
 
 
@@ -68,6 +69,14 @@ def test_equals_brute_force(spark, data, k):
     assert all(got[x][1] == want[x][1] and got[x][0] == pytest.approx(want[x][0], abs=2e-6) for x in want)
 
 
+def test_large_vocabulary_keeps_whole_rows(spark, data, monkeypatch):
+    q, c = frames(spark, data)
+    restricted = {r: collected(match_rank(q, c, 7, ranking=r)) for r in ("bm25", "ts_rank")}
+    monkeypatch.setattr(keyword, "RESTRICT_LEXEMES", 0)
+    for ranking, want in restricted.items():
+        assert collected(match_rank(q, c, 7, ranking=ranking)) == want
+
+
 def test_all_matches(spark, data):
     q, c = frames(spark, data)
     got = {(r.query_id, r.id) for r in match_rank(q, c, None).collect()}
