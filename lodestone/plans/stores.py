@@ -30,13 +30,15 @@ def _history(spark: SparkSession, folder: str) -> tuple[RunHistory, DataFrame]:
     t = Tables(spark, folder)
     runs = ops_runs(t)
     history = RunHistory(spark, scratch_path(spark, "history"))
-    base = f"{history.path}/v=1"
     items = ops_items(t, runs)
-    items.write.parquet(f"{base}/ask_eval")
-    runs.select(
-        "run_id", "track", F.col("ran_at").cast("timestamp").alias("ran_at"),
-        F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("string").alias("notes"),
-    ).write.parquet(f"{base}/runs")
+    none = F.lit(None).cast("string")
+    history.replace(
+        runs.select(
+            "run_id", "track", F.col("ran_at").cast("timestamp").alias("ran_at"),
+            none.alias("source_path"), none.alias("notes"),
+        ),
+        {"ask_eval": items},
+    )
     return history, items
 
 
@@ -63,7 +65,7 @@ def append_run(spark: SparkSession, folder: str) -> DataFrame:
     return (
         history.table("ask_eval").groupBy("run_id")
         .agg(F.count("*").alias("items"), F.count_if("passed").alias("passed"))
-        .join(history.table("runs"), "run_id")
+        .join(history.runs(), "run_id")
         .select("run_id", "track", "notes", "items", "passed")
     )
 
@@ -77,7 +79,7 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     history, _ = _history(spark, folder)
     history.delete(F.col("track") == ASK)
     # Joined from the children, a child left behind would show with a NULL track.
-    return history.table("ask_eval").join(history.table("runs"), "run_id", "left").select(
+    return history.table("ask_eval").join(history.runs(), "run_id", "left").select(
         "track", "run_id", "event_id", "fixture_id", "passed"
     )
 

@@ -70,7 +70,12 @@ def cascade(survivors: DataFrame, child: DataFrame) -> DataFrame:
 
 
 class RunHistory:
-    """``runs`` and its child tables in one folder. One writer at a time."""
+    """``runs`` and its child tables in one folder. One writer at a time.
+
+    The rows of each run lie in a folder of their own, written before the run itself.
+    What a lost job leaves behind belongs to no run: it is never read, and the next
+    run with that id writes over it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -80,36 +85,46 @@ class RunHistory:
             version = latest_version(self.spark, self.path, "runs/_SUCCESS") or 1
         return f"{self.path}/v={version}"
 
+    def runs(self) -> DataFrame:
+        path = f"{self._folder()}/runs"
+        if not _exists(self.spark, f"{path}/_SUCCESS"):
+            return self.spark.createDataFrame([], RUNS_SCHEMA)
+        return self.spark.read.schema(RUNS_SCHEMA).parquet(path)
+
     def table(self, name: str) -> DataFrame | None:
+        """The rows of a child table, None if no run has written any."""
         path = f"{self._folder()}/{name}"
-        return self.spark.read.parquet(path) if _exists(self.spark, f"{path}/_SUCCESS") else None
+        if not _exists(self.spark, path):
+            return None
+        fs, p = _fs(self.spark, path)
+        parts = [f"{path}/{s.getPath().getName()}" for s in fs.listStatus(p)]
+        parts = [part for part in parts if _exists(self.spark, f"{part}/_SUCCESS")]
+        return cascade(self.runs(), self.spark.read.parquet(*parts)) if parts else None
 
     def append(
         self, track: str, child: str, rows: DataFrame, ran_at: Column | None = None,
         source_path: str | None = None, notes: str | None = None,
     ) -> int:
-        """Add a run with its rows; the rows land before the run, so a visible run is complete."""
-        runs = self.table("runs")
-        if runs is None:
-            runs = self.spark.createDataFrame([], RUNS_SCHEMA)
+        """Add a run with its rows and return its id."""
+        runs, folder = self.runs(), self._folder()
         run_id = next_run_id(runs)
-        folder = self._folder()
-        rows.select(F.lit(run_id).cast("long").alias("run_id"), "*").write.mode("append").parquet(f"{folder}/{child}")
+        numbered_rows = rows.select(F.lit(run_id).cast("long").alias("run_id"), "*")
+        numbered_rows.write.mode("overwrite").parquet(f"{folder}/{child}/run-{run_id}")
         run_row(runs, run_id, track, ran_at, source_path, notes).write.mode("append").parquet(f"{folder}/runs")
         return run_id
 
+    def replace(self, runs: DataFrame, children: dict[str, DataFrame]) -> None:
+        """Make ``runs`` and the child tables given the whole history."""
+        folder = self._folder(latest_version(self.spark, self.path, "runs/_SUCCESS") + 1)
+        for child, rows in children.items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{child}/kept")
+        runs.write.mode("overwrite").parquet(f"{folder}/runs")
+
     def delete(self, condition: Column) -> None:
         """Delete the runs meeting ``condition`` and their child rows."""
-        runs = self.table("runs")
-        if runs is None:
-            return
-        survivors = runs.where(~F.coalesce(condition, F.lit(False)))
-        following = self._folder(latest_version(self.spark, self.path, "runs/_SUCCESS") + 1)
-        for child in CHILDREN:
-            rows = self.table(child)
-            if rows is not None:
-                cascade(survivors, rows).write.parquet(f"{following}/{child}")
-        survivors.write.parquet(f"{following}/runs")
+        survivors = self.runs().where(~F.coalesce(condition, F.lit(False)))
+        children = {child: self.table(child) for child in CHILDREN}
+        self.replace(survivors, {c: cascade(survivors, rows) for c, rows in children.items() if rows is not None})
 
     def truncate(self) -> None:
         self.delete(F.lit(True))

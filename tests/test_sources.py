@@ -145,17 +145,29 @@ def test_run_history(spark, tmp_path):
     assert h.append("ask_eval", "ask_eval", rows, notes="1/2 pass") == 1
     assert h.append("ask_eval", "ask_eval", rows) == 2
     assert h.append("pytest", "pytest_runs", rows.selectExpr("fixture_id AS nodeid", "'passed' AS outcome")) == 3
-    assert h.table("runs").count() == 3 and h.table("ask_eval").count() == 4
+    assert h.runs().count() == 3 and h.table("ask_eval").count() == 4
     assert h.table("endpoint_smoke") is None
     h.delete(F.col("run_id") == 1)
-    assert sorted(r.run_id for r in h.table("runs").collect()) == [2, 3]
+    assert sorted(r.run_id for r in h.runs().collect()) == [2, 3]
     assert {r.run_id for r in h.table("ask_eval").collect()} == {2}
     assert h.append("ask_eval", "ask_eval", rows) == 4
+    assert {r.run_id for r in h.table("ask_eval").collect()} == {2, 4}
     h.truncate()
-    assert h.table("runs").count() == h.table("ask_eval").count() == h.table("pytest_runs").count() == 0
+    assert h.runs().count() == h.table("ask_eval").count() == h.table("pytest_runs").count() == 0
     assert h.append("ask_eval", "ask_eval", rows) == 1
 
 
+def test_rows_of_a_lost_run_are_not_read(spark, tmp_path):
+    h = RunHistory(spark, str(tmp_path / "h"))
+    rows = spark.createDataFrame([("f1", True)], "fixture_id string, passed boolean")
+    h.append("ask_eval", "ask_eval", rows)
+    # A job that wrote its rows and was lost before it wrote its run.
+    rows.selectExpr("2L AS run_id", "'lost' AS fixture_id", "passed").write.parquet(f"{h.path}/v=1/ask_eval/run-2")
+    assert [r.fixture_id for r in h.table("ask_eval").collect()] == ["f1"]
+    assert h.append("ask_eval", "ask_eval", rows) == 2
+    assert [r.fixture_id for r in h.table("ask_eval").collect()] == ["f1", "f1"]
+
+
 def test_numbered_is_a_dense_order(spark):
     df = spark.range(3000)
     got = numbered(df, "id").orderBy("position").collect()
