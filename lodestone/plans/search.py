@@ -236,6 +236,20 @@ def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return knn.knn_lsh(vectors, vectors, 10, DIM, query_key="vec_id", corpus_key="vec_id")
 
 
+@plan("knn_lsh_stored", f"""
+WITH {LSH_SQL}
+SELECT query_id, id, distance, CAST(r AS BIGINT) AS rank FROM near
+""")
+def knn_lsh_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search against a store partitioned by cell."""
+    vectors = Tables(spark, folder).embeddings
+    path = f"{scratch_path(spark, 'cells')}/vectors"
+    knn.write_cells(vectors, path, DIM)
+    return knn.knn_lsh(
+        vectors, spark.read.parquet(path), 10, DIM, query_key="vec_id", corpus_key="vec_id", cell="cell"
+    )
+
+
 @plan("knn_lsh_recall", f"""
 WITH {LSH_SQL}, {vector_sql(_VECTORS, "(SELECT vec_id AS id, embedding FROM embeddings)", 10)}
 SELECT expected, found, round(found / greatest(expected, 1), 6) AS recall FROM (
