@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ from lodestone.functions.text import PERTURBATIONS, perturbations
 from lodestone.operators.embedding import embed
 from lodestone.operators.hybrid import DEPTH, fuse
 from lodestone.operators.keyword import match_rank
-from lodestone.operators.knn import knn, top_per_query
+from lodestone.operators.knn import knn
 from lodestone.operators.sampling import random_n
 from lodestone.session import stage
 
@@ -71,15 +71,16 @@ def search_eval(
     words = match_rank(asked, store.select("id", "content"), DEPTH, language=language)
     lists = fuse(near, words, "full")
 
-    in_vector = F.col("vector_rank").isNotNull()
-    fused = top_per_query(lists.where(in_vector), DEPTH, [F.col("score").desc(), F.col("id")])
-    ranked = fused.select("query_id", "id", "vector_rank", "keyword_rank", F.col("rank").alias("rrf_rank")).unionByName(
-        lists.where(~in_vector).select("query_id", "id", "vector_rank", "keyword_rank", F.lit(None).cast("long").alias("rrf_rank"))
+    # Fusion drops rows that only the keyword list has; they sort after all others here.
+    fused_order = Window.partitionBy("query_id").orderBy(
+        F.col("vector_rank").isNull(), F.col("score").desc(), F.col("id")
     )
-    gold = asked.select("query_id", "gold", "perturbation")
-    found = gold.join(
-        ranked.withColumnRenamed("id", "gold"), ["query_id", "gold"], "left"
+    ranked = lists.withColumn("n", F.row_number().over(fused_order)).select(
+        "query_id", F.col("id").alias("gold"), "vector_rank", "keyword_rank",
+        F.when(F.col("vector_rank").isNotNull(), F.col("n")).alias("rrf_rank"),
     )
+    gold = asked.select("query_id", "gold", "perturbation")
+    found = gold.join(ranked, ["query_id", "gold"], "left")
     return recall(
         found.select(
             "perturbation",

@@ -92,6 +92,24 @@ def test_index_gives_the_same(spark, data, tmp_path):
     assert match_rank(q, index, 5, table_name="other").count() == 0
 
 
+@pytest.mark.parametrize("ranking", ["bm25", "ts_rank"])
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_few_queries_on_an_index(spark, data, tmp_path, monkeypatch, ranking, limit):
+    q, c = frames(spark, data)
+    path = str(tmp_path / "index")
+    TextIndex.write(c, path, buckets=4)
+    index = TextIndex.read(spark, path)
+    want = collected(match_rank(q, c, 5, ranking=ranking))
+    monkeypatch.setattr(keyword, "BROADCAST_IDS", limit)
+    got = {}
+    for ids in [(0, 1, 2, 3), (100, 101, 4), (200, 201, 205), (202,), (203, 204)]:
+        hits = match_rank(q.where(F.col("query_id").isin(*ids)), index, 5, ranking=ranking)
+        assert "counted" not in hits._jdf.queryExecution().toString()
+        got.update(collected(hits))
+    assert got == {key: value for key, value in want.items() if key[0] in (0, 1, 2, 3, 4, 100, 101, 203, 204)}
+    assert match_rank(q.where("query_id = 0"), index, None).count() == match_rank(q.where("query_id = 0"), c, None).count()
+
+
 def test_index_of_several_tables(spark, data, tmp_path):
     q, c = frames(spark, data)
     two = c.withColumn("table_name", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
