@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions.text import PERTURBATIONS, perturbations
 from lodestone.operators.embedding import embed
-from lodestone.operators.hybrid import DEPTH, fuse
+from lodestone.operators.hybrid import DEPTH, fuse, reciprocal
 from lodestone.operators.keyword import match_rank
 from lodestone.operators.knn import knn
 from lodestone.operators.sampling import random_n
@@ -67,17 +67,19 @@ def search_eval(
         .withColumn("query_id", F.col("gold") * 8 + _perturbation_number("perturbation"))
     )
     asked = stage(embed(asked, "query_text", make_embedder), "eval-queries")
-    near = vectors(asked.select("query_id", "embedding"), store.select("id", "embedding"), DEPTH)
-    words = match_rank(asked, store.select("id", "content"), DEPTH, language=language)
+    depth = max(DEPTH, k)
+    near = vectors(asked.select("query_id", "embedding"), store.select("id", "embedding"), depth)
+    words = match_rank(asked, store.select("id", "content"), depth, language=language)
     lists = fuse(near, words, "full")
 
-    # Fusion drops rows that only the keyword list has; they sort after all others here.
-    fused_order = Window.partitionBy("query_id").orderBy(
-        F.col("vector_rank").isNull(), F.col("score").desc(), F.col("id")
-    )
-    ranked = lists.withColumn("n", F.row_number().over(fused_order)).select(
-        "query_id", F.col("id").alias("gold"), "vector_rank", "keyword_rank",
-        F.when(F.col("vector_rank").isNotNull(), F.col("n")).alias("rrf_rank"),
+    # Fusion takes the first DEPTH of each list and drops rows that only the keyword list
+    # has; those sort after all others here.
+    by_vector, by_keyword = F.col("vector_rank"), F.col("keyword_rank")
+    in_fusion = F.coalesce(by_vector <= DEPTH, F.lit(False))
+    score = reciprocal(by_vector) + reciprocal(F.when(by_keyword <= DEPTH, by_keyword))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(~in_fusion, score.desc(), "id"))
+    ranked = lists.select(
+        "query_id", F.col("id").alias("gold"), by_vector, by_keyword, F.when(in_fusion, place).alias("rrf_rank")
     )
     gold = asked.select("query_id", "gold", "perturbation")
     found = gold.join(ranked, ["query_id", "gold"], "left")
