@@ -69,12 +69,14 @@ def test_equals_brute_force(spark, data, k):
     assert all(got[x][1] == want[x][1] and got[x][0] == pytest.approx(want[x][0], abs=2e-6) for x in want)
 
 
-def test_large_vocabulary_keeps_whole_rows(spark, data, monkeypatch):
+@pytest.mark.parametrize(("in_row", "joined"), [(0, 50_000), (0, 0)])
+def test_longer_vocabularies(spark, data, monkeypatch, in_row, joined):
     q, c = frames(spark, data)
-    restricted = {r: collected(match_rank(q, c, 7, ranking=r)) for r in ("bm25", "ts_rank")}
-    monkeypatch.setattr(keyword, "RESTRICT_LEXEMES", 0)
-    for ranking, want in restricted.items():
-        assert collected(match_rank(q, c, 7, ranking=ranking)) == want
+    want = {r: collected(match_rank(q, c, 7, ranking=r)) for r in ("bm25", "ts_rank")}
+    monkeypatch.setattr(keyword, "ROW_LEXEMES", in_row)
+    monkeypatch.setattr(keyword, "JOIN_LEXEMES", joined)
+    for ranking in want:
+        assert collected(match_rank(q, c, 7, ranking=ranking)) == want[ranking]
 
 
 def test_all_matches(spark, data):
@@ -94,20 +96,19 @@ def test_index_gives_the_same(spark, data, tmp_path):
 
 @pytest.mark.parametrize("ranking", ["bm25", "ts_rank"])
 @pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_few_queries_on_an_index(spark, data, tmp_path, monkeypatch, ranking, limit):
+def test_few_queries(spark, data, tmp_path, monkeypatch, ranking, limit):
     q, c = frames(spark, data)
     path = str(tmp_path / "index")
     TextIndex.write(c, path, buckets=4)
-    index = TextIndex.read(spark, path)
     want = collected(match_rank(q, c, 5, ranking=ranking))
     monkeypatch.setattr(keyword, "BROADCAST_IDS", limit)
-    got = {}
-    for ids in [(0, 1, 2, 3), (100, 101, 4), (200, 201, 205), (202,), (203, 204)]:
-        hits = match_rank(q.where(F.col("query_id").isin(*ids)), index, 5, ranking=ranking)
-        assert "counted" not in hits._jdf.queryExecution().toString()
-        got.update(collected(hits))
-    assert got == {key: value for key, value in want.items() if key[0] in (0, 1, 2, 3, 4, 100, 101, 203, 204)}
-    assert match_rank(q.where("query_id = 0"), index, None).count() == match_rank(q.where("query_id = 0"), c, None).count()
+    for source in (c, TextIndex.read(spark, path)):
+        got = {}
+        for ids in [(0, 1, 2, 3), (100, 101, 4), (200, 201, 205), (202,), (203, 204)]:
+            got.update(collected(match_rank(q.where(F.col("query_id").isin(*ids)), source, 5, ranking=ranking)))
+        assert got == {key: hit for key, hit in want.items() if key[0] in (0, 1, 2, 3, 4, 100, 101, 203, 204)}
+        one = q.where("query_id = 0")
+        assert match_rank(one, source, None).count() == sum(key[0] == 0 for key in brute(*data, 10_000))
 
 
 def test_index_of_several_tables(spark, data, tmp_path):
