@@ -205,3 +205,28 @@ def test_postings_and_frequencies(spark):
 )
 def test_stem(word, want):
     assert stem(word) == want
+
+
+# The sample vocabulary published with the stemming algorithm, and its stems.
+SAMPLE = """
+consign consigned consigning consignment consist consisted consistency consistent consistently consisting consists
+consolation consolations consolatory console consoled consoles consolidate consolidated consolidating consoling
+consolingly consols consonant consort consorted consorting conspicuous conspicuously conspiracy conspirator
+conspirators conspire conspired conspiring constable constables constance constancy constant
+knack knackeries knacks knag knave knaves knavish kneaded kneading knee kneel kneeled kneeling kneels knees knell
+knelt knew knick knif knife knight knightly knights knit knits knitted knitting knives knob knobs knock knocked
+knocker knockers knocking knocks knopp knot knots
+"""
+STEMS = """
+consign consign consign consign consist consist consist consist consist consist consist
+consol consol consolatori consol consol consol consolid consolid consolid consol
+consol consol conson consort consort consort conspicu conspicu conspiraci conspir
+conspir conspir conspir conspir constabl constabl constanc constanc constant
+knack knackeri knack knag knave knave knavish knead knead knee kneel kneel kneel kneel knee knell
+knelt knew knick knif knife knight knight knight knit knit knit knit knive knob knob knock knock
+knocker knocker knock knock knopp knot knot
+"""
+
+
+def test_published_sample_stems():
+    assert [stem(w) for w in SAMPLE.split()] == STEMS.split()
