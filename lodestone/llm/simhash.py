@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.text import blocks
+from lodestone.llm.text import blocks, distinct
 from lodestone.session import stage
 
 # XXH64, fixed values.
@@ -79,7 +79,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     begins = ends - counts
     # Sums of up to 255 rows fit a byte; those are summed again.
-    part = np.unique(np.concatenate([begins, np.arange(0, len(bits), 255)]))
+    part = distinct(np.concatenate([begins, np.arange(0, len(bits), 255)]))
     sums = np.add.reduceat(bits, part, axis=0).astype(np.int64)
     total = np.add.reduceat(sums, np.searchsorted(part, begins), axis=0)
     return np.packbits(total * 2 > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import blocks, mix, run_hashes, word_hashes
+from lodestone.llm.text import blocks, distinct, mix, run_hashes, word_hashes
 from lodestone.session import stage
 
 WINDOW = 35
@@ -222,7 +222,7 @@ def _anchor_pass(window: int, run: int, groups: int):
             if not len(starts):
                 continue
             place, runs = anchors(words.hash, window, run)
-            at = np.unique(place[starts])
+            at = distinct(place[starts])
             key = runs[at]
             rows = _deal(words, at, _words64(key), (key % np.uint64(groups)).astype(np.int64), groups)
             # Prefixes that are common in this batch, for the choice of their length.

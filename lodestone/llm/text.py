@@ -71,6 +71,12 @@ def run_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * _power("down", _R_INV, len(words))[:n])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in ascending order; sorting is faster here than hashing them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def blocks(lengths: list[int], most: int) -> list[tuple[int, int]]:
     """Consecutive ranges of rows holding about ``most`` bytes each, one row at least."""
     out, begin, total = [], 0, 0
