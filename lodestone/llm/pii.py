@@ -233,15 +233,18 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Spans that overlap are one, named after the first. Null texts stay null.
     """
-    spans = find_personal_data(docs, key, text).select("row_key", F.sort_array(F.concat("base", "added")).alias("_spans"))
-    spans = spans.where(F.size("_spans") > 0).dropDuplicates(["row_key"])
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_key", F.xxhash64(F.col(key).cast("long"), body))
-    joined = rows.join(spans, rows["_key"] == spans["row_key"], "left")
+    spans = find_personal_data(docs, key, text).select("row_key", F.sort_array(F.concat("base", "added")).alias("spans"))
+    spans = spans.where(F.size("spans") > 0).dropDuplicates(["row_key"])
+    # The row goes as one value, so its columns can have any names.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(text).alias("body"),
+        F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))).alias("key"),
+    )
+    joined = rows.join(spans, rows["key"] == spans["row_key"], "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc, s):
-        gap = F.substring(F.col(text), acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))
+        gap = F.substring(F.col("body"), acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))
         more = F.concat(acc["out"], F.array(F.concat(gap, F.get(names, s["kind"]))))
         fresh = F.struct(more.alias("out"), s["end"].cast("int").alias("at"))
         same = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"].cast("int")).alias("at"))
@@ -249,9 +252,11 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
     clean = F.aggregate(
-        "_spans", start, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.lit(2**31 - 1))),
+        "spans", start, step,
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("body"), acc["at"] + 1, F.lit(2**31 - 1))),
     )
-    out = joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(clean))
-    out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    out = joined.withColumn("clean", F.when(F.col("spans").isNull(), F.col("body")).otherwise(clean))
+    made = {text: F.col("clean")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.char_length("clean").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
