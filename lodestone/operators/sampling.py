@@ -32,13 +32,13 @@ def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def stratified(
-    df: DataFrame, strata: list[str], key: str, per_stratum: int | None, limit: int, seed: int = 42
+    df: DataFrame, strata: list[str], key: str, per_stratum: int | None, limit: int | None, seed: int = 42
 ) -> DataFrame:
-    """At most ``per_stratum`` drawn rows of each stratum, then at most ``limit`` in all."""
+    """At most ``per_stratum`` drawn rows of each stratum, then at most ``limit`` in all, if there is one."""
     if per_stratum is not None:
         w = Window.partitionBy(*strata).orderBy(draw(key, seed), key)
         df = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_stratum).drop("_n")
-    return random_n(df, key, limit, seed)
+    return df if limit is None else random_n(df, key, limit, seed)
 
 
 def numbered(df: DataFrame, key: str, seed: int = 42, prefix: int = 4) -> DataFrame:

@@ -16,9 +16,10 @@ TIMEOUT_SECONDS = 60.0
 
 # Expressions that run code of the caller's choosing inside a SELECT.
 _DENIED = ("CallMethodViaReflection", "TryReflect")
-_EXCLUDED_SCHEMAS = ("information_schema",)
 # Schemas of a database that its digest leaves out.
-_CATALOG_SCHEMAS = ("pg_catalog", "information_schema", "ai")
+_EXCLUDED_SCHEMAS = ("pg_catalog", "information_schema", "ai")
+# Queries are parsed one at a time, since parsing switches a setting of the shared session.
+_parsing = threading.Lock()
 
 
 class QueryRefused(ValueError):
@@ -85,16 +86,17 @@ def bounded_query(spark: SparkSession, sql: str, args=None, cap: int = ROW_LIMIT
     """
     text = sql.strip().rstrip(";").rstrip()
     by_path = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(by_path, "true")
-    spark.conf.set(by_path, "false")
-    try:
-        spark._jsparkSession.sessionState().sqlParser().parseQuery(text)
-        frame = spark.sql(f"SELECT * FROM (\n{text}\n) LIMIT {int(cap)}", args=args)
-        denied = _denied_in(json.loads(frame._jdf.queryExecution().analyzed().toJSON()))
-    except Exception as e:
-        raise QueryRefused(str(e)) from e
-    finally:
-        spark.conf.set(by_path, before)
+    with _parsing:
+        before = spark.conf.get(by_path, "true")
+        spark.conf.set(by_path, "false")
+        try:
+            spark._jsparkSession.sessionState().sqlParser().parseQuery(text)
+            frame = spark.sql(f"SELECT * FROM (\n{text}\n) LIMIT {int(cap)}", args=args)
+            denied = _denied_in(json.loads(frame._jdf.queryExecution().analyzed().toJSON()))
+        except Exception as e:
+            raise QueryRefused(str(e)) from e
+        finally:
+            spark.conf.set(by_path, before)
     if denied:
         raise QueryRefused(f"{denied} is not allowed in a query")
     return BoundedResult(frame)
@@ -138,7 +140,7 @@ def schema_digest(
     return reduce(DataFrame.unionByName, [one(n, df) for n, df in sorted(chosen.items())])
 
 
-def catalog_columns(columns: DataFrame, excluded=_CATALOG_SCHEMAS) -> DataFrame:
+def catalog_columns(columns: DataFrame, excluded=_EXCLUDED_SCHEMAS) -> DataFrame:
     """(table_name, ordinal, column_name, data_type, nullable) from a database's own listing.
 
     ``columns`` has table_schema, table_name, column_name, ordinal_position, data_type
@@ -154,7 +156,7 @@ def catalog_columns(columns: DataFrame, excluded=_CATALOG_SCHEMAS) -> DataFrame:
 
 
 def catalog_references(
-    constraints: DataFrame, key_columns: DataFrame, referenced: DataFrame, excluded=_CATALOG_SCHEMAS
+    constraints: DataFrame, key_columns: DataFrame, referenced: DataFrame, excluded=_EXCLUDED_SCHEMAS
 ) -> DataFrame:
     """(child, column_name, parent, parent_column) from a database's three listings of constraints."""
     of_constraint = ["constraint_name", "constraint_schema"]

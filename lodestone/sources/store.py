@@ -16,10 +16,12 @@ from lodestone.operators.relational import latest_per
 from lodestone.operators.sampling import numbered
 from lodestone.session import stage
 
+# The key and the columns of the embedding store.
 STORE_KEY = ["table_name", "column_name", "row_id"]
 STORE_SCHEMA = (
     "id long, table_name string, column_name string, row_id string, content string, embedding array<float>"
 )
+# The columns of the run history and its child tables.
 RUNS_SCHEMA = "run_id long, track string, ran_at timestamp, source_path string, notes string"
 CHILDREN = ("endpoint_smoke", "ask_eval", "search_eval", "pytest_runs")
 
@@ -47,8 +49,9 @@ def latest_version(spark: SparkSession, path: str, finished: str = "_SUCCESS") -
 # --- run history -----------------------------------------------------------------
 
 
-def next_run_id(runs: DataFrame) -> int:
-    return runs.agg(F.coalesce(F.max("run_id"), F.lit(0)) + 1).first()[0]
+def next_run_id(runs: DataFrame, highest: int = 0) -> int:
+    """The id after the largest so far; ``highest`` has been given out, though its run may be gone."""
+    return max(runs.agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0], highest) + 1
 
 
 def run_row(
@@ -104,49 +107,69 @@ class RunHistory:
     def append(
         self, track: str, child: str, rows: DataFrame, ran_at: Column | None = None,
         source_path: str | None = None, notes: str | None = None,
-    ) -> int:
-        """Add a run with its rows and return its id."""
+    ) -> int | None:
+        """Add a run with its rows and return its id; without rows there is no run and None comes back."""
         runs, folder = self.runs(), self._folder()
-        run_id = next_run_id(runs)
+        rows = stage(rows, "run-rows")
+        if rows.isEmpty():
+            return None
+        run_id = next_run_id(runs, self._highest())
         numbered_rows = rows.select(F.lit(run_id).cast("long").alias("run_id"), "*")
         numbered_rows.write.mode("overwrite").parquet(f"{folder}/{child}/run-{run_id}")
         run_row(runs, run_id, track, ran_at, source_path, notes).write.mode("append").parquet(f"{folder}/runs")
         return run_id
 
-    def replace(self, runs: DataFrame, children: dict[str, DataFrame]) -> None:
-        """Make ``runs`` and the child tables given the whole history."""
+    def _highest(self) -> int:
+        """The largest id given out before the last rewrite, 0 if none is known."""
+        path = f"{self._folder()}/highest"
+        return self.spark.read.parquet(path).first()[0] if _exists(self.spark, f"{path}/_SUCCESS") else 0
+
+    def replace(self, runs: DataFrame, children: dict[str, DataFrame], highest: int = 0) -> None:
+        """Make ``runs`` and the child tables given the whole history; ids up to ``highest`` are not given out again."""
         folder = self._folder(latest_version(self.spark, self.path, "runs/_SUCCESS") + 1)
+        self.spark.range(1).select(F.lit(highest).cast("long").alias("run_id")).write.mode("overwrite").parquet(f"{folder}/highest")
         for child, rows in children.items():
             rows.write.mode("overwrite").parquet(f"{folder}/{child}/kept")
         runs.write.mode("overwrite").parquet(f"{folder}/runs")
 
     def delete(self, condition: Column) -> None:
-        """Delete the runs meeting ``condition`` and their child rows."""
+        """Delete the runs meeting ``condition`` and their child rows. Their ids are not given out again."""
+        highest = next_run_id(self.runs(), self._highest()) - 1
         survivors = self.runs().where(~F.coalesce(condition, F.lit(False)))
         children = {child: self.table(child) for child in CHILDREN}
-        self.replace(survivors, {c: cascade(survivors, rows) for c, rows in children.items() if rows is not None})
+        self.replace(survivors, {c: cascade(survivors, rows) for c, rows in children.items() if rows is not None}, highest)
 
     def truncate(self) -> None:
-        self.delete(F.lit(True))
+        """Drop all runs and start counting anew."""
+        none = self.runs().where("false")
+        children = {child: self.table(child) for child in CHILDREN}
+        self.replace(none, {c: rows.where("false") for c, rows in children.items() if rows is not None})
 
 
 # --- embedding store -------------------------------------------------------------
 
 
-def changes(store: DataFrame, batch: DataFrame) -> DataFrame:
+def changes(store: DataFrame, batch: DataFrame, order_by: str | None = None) -> DataFrame:
     """The rows an upsert of ``batch`` writes: a known key keeps its id and gets the new content
     and vector, a new key gets an id after the largest so far.
 
-    A key repeated within the batch is taken once, with its greatest content. The batch
+    A key repeated within the batch is taken once: the row with the greatest ``order_by``
+    (a column of the batch that says in which order its rows came), of equals the one with
+    the greatest content and vector. A null in the key or the content is an error. The batch
     is staged, so against a small batch the store's keys are scanned in place, and only
     a batch too large to broadcast makes them shuffle.
     """
+    newest = F.struct((F.col(order_by) if order_by else F.lit(0)).alias("at"), "content", "embedding")
     incoming = stage(
         batch.groupBy(*STORE_KEY)
-        .agg(F.max_by(F.struct("content", "embedding"), "content").alias("new"))
-        .select(*STORE_KEY, "new.content", "new.embedding"),
+        .agg(F.max(newest).alias("new"), F.bool_or(F.col("content").isNull()).alias("empty"))
+        .select(*STORE_KEY, "new.content", "new.embedding", "empty"),
         "upsert-batch",
     )
+    unfit = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in STORE_KEY], F.col("empty"))
+    if not incoming.where(unfit).isEmpty():
+        raise ValueError("an upserted row needs a key and content")
+    incoming = incoming.drop("empty")
     columns = ["id", *STORE_KEY, "content", "embedding"]
     known = stage(store.select("id", *STORE_KEY).join(incoming.select(*STORE_KEY), STORE_KEY), "upsert-known")
     replaced = known.join(incoming, STORE_KEY).select(*columns)
@@ -199,19 +222,29 @@ class EmbeddingStore:
         newest = latest_per(reduce(DataFrame.unionByName, changed), STORE_KEY, [F.col("_batch").desc()]).drop("_batch")
         return rows.join(newest.select(*STORE_KEY), STORE_KEY, "left_anti").select(*newest.columns).unionByName(newest)
 
-    def upsert(self, batch: DataFrame) -> None:
+    def upsert(self, batch: DataFrame, order_by: str | None = None) -> None:
+        """Write ``batch``; of rows with one key the last by ``order_by`` counts."""
         version = self._version()
         batches = self._batches(version)
         if len(batches) > self.MAX_BATCHES:
             self.compact()
             version, batches = version + 1, [0]
-        rows = changes(self.read(), batch)
+        rows = changes(self.read(), batch, order_by)
         self._write(rows, version or 1, batches[-1] + 1 if batches else 0)
 
     def replace(self, rows: DataFrame) -> None:
         """Make ``rows``, ids included, the new base."""
         self._write(rows, self._version() + 1, 0)
 
+    def vacuum(self) -> None:
+        """Remove all versions but the newest; nobody may be reading an older one."""
+        fs, p = _fs(self.spark, self.path)
+        newest = self._version()
+        for s in fs.listStatus(p) if newest else ():
+            name = s.getPath().getName()
+            if name.startswith("v=") and int(name[2:]) < newest:
+                fs.delete(s.getPath(), True)
+
     def compact(self) -> None:
         """Fold all batches into a new base."""
         self.replace(self.read())

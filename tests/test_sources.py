@@ -139,6 +139,21 @@ def test_unfinished_batch_is_ignored(spark, tmp_path):
     assert contents(store).keys() == {"1", "2"}
 
 
+def test_upsert_takes_the_last_row_of_a_key(spark, tmp_path):
+    store = EmbeddingStore(spark, str(tmp_path / "s"))
+    rows = [("t", "c", "1", "zzz first", [1.0], 1), ("t", "c", "1", "aaa last", [2.0], 2), ("t", "c", "2", "same", [3.0], 1),
+            ("t", "c", "2", "same", [4.0], 2)]
+    batch = spark.createDataFrame(rows, KEYED + ", at int")
+    store.upsert(batch, order_by="at")
+    assert {(r.row_id, r.content, r.embedding[0]) for r in store.read().collect()} == {("1", "aaa last", 2.0), ("2", "same", 4.0)}
+    for unfit in (("t", "c", "3", None, [1.0], 1), ("t", None, "3", "x", [1.0], 1)):
+        with pytest.raises(ValueError, match="key and content"):
+            store.upsert(spark.createDataFrame([unfit], KEYED + ", at int"), order_by="at")
+    store.compact()
+    store.vacuum()
+    assert store.read().count() == 2 and [p.name for p in (tmp_path / "s").glob("v=*")] == ["v=2"]
+
+
 def test_run_history(spark, tmp_path):
     h = RunHistory(spark, str(tmp_path / "h"))
     rows = spark.createDataFrame([("f1", True), ("f2", False)], "fixture_id string, passed boolean")
@@ -152,6 +167,10 @@ def test_run_history(spark, tmp_path):
     assert {r.run_id for r in h.table("ask_eval").collect()} == {2}
     assert h.append("ask_eval", "ask_eval", rows) == 4
     assert {r.run_id for r in h.table("ask_eval").collect()} == {2, 4}
+    # The newest run goes, and its id with it; nothing to load is no run.
+    h.delete(F.col("run_id") == 4)
+    assert h.append("ask_eval", "ask_eval", rows.where("false")) is None and h.runs().count() == 2
+    assert h.append("ask_eval", "ask_eval", rows) == 5
     h.truncate()
     assert h.runs().count() == h.table("ask_eval").count() == h.table("pytest_runs").count() == 0
     assert h.append("ask_eval", "ask_eval", rows) == 1
