@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ _P1, _P2, _P3, _P4, _P5 = (
 )
 SEED = 42
 BLOCK_BYTES = 1 << 20
-#: Distinct fingerprints in one shard of the tree, and those the tree is fitted on.
-SHARD_SIZE = 16_384
+#: Shards are as many as the square root of the distinct fingerprints over this: more of them
+#: search faster, but each boundary makes more fingerprints visit a second shard.
+SHARD_SIZE = 2_048
+#: Fingerprints that the tree of the shards is fitted on.
 SAMPLE_SIZE = 8_192
 LEAF_SIZE = 64
 
@@ -244,7 +247,8 @@ def near_links(fps: DataFrame, reach: int = 3) -> DataFrame:
     n = distinct.count()
     sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_SIZE).collect()
     points = np.array([r[0] for r in sample], np.int64).view(np.uint64)
-    tree = VantageTree(points, max(1, len(points) * SHARD_SIZE // max(n, 1)))
+    shards = max(1, math.isqrt(n // SHARD_SIZE))
+    tree = VantageTree(points, max(1, len(points) // shards))
     tree.leaves = []
     routed = distinct.mapInPandas(_route(tree, reach), "shard long, fp long, home boolean")
     return routed.groupBy("shard").applyInPandas(_search(reach), "a long, b long")

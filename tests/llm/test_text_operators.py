@@ -143,7 +143,7 @@ def plain_components(points, reach):
 
 
 def test_near_duplicates_against_all_pairs(small, texts, odd, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD_SIZE", 40)
+    monkeypatch.setattr(simhash, "SHARD_SIZE", 4)
     both = small.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     docs = [*texts.items(), *((i, t) for i, t, _ in ODD_TEXTS)]
     points = [(i, plain_fingerprint(t)) for i, t in docs]
