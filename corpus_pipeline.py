@@ -21,12 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies, that with the smallest id.
 
-    Of rows that repeat an id, one stays; a group of null ids keeps one of them too.
+    Of rows that repeat an id, one stays. Rows without an id cannot be named by their group; of those, one stays of
+    each text.
     """
     rows = docs.select(*COLUMNS)
     found = simhash.near_duplicates(rows)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    # Both steps deal the texts out by id, which takes one shuffle; null ids, which equal nothing, go apart.
+    named = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(rows.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
