@@ -60,7 +60,7 @@ class Corpus:
             owner.append(word[fits])
         grams, owner = np.concatenate(grams).astype(np.int64), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        self.gram, self.gram_word = grams[order], owner[order]
+        self.gram, self.gram_word = grams[order].astype(np.int32), owner[order].astype(np.int32)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
@@ -275,7 +275,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     for half in (0, 1):
         rows = np.arange(half, len(texts), 2)
         parts = []
-        for a, b in blocks([len(texts[i] or "") for i in rows], BLOCK_BYTES):
+        for a, b in blocks([len(texts[i] or "") for i in rows], BLOCK_BYTES // 2):
             parts.append((Corpus([texts[i] for i in rows[a:b]]), label[rows[a:b]]))
         halves.append(parts)
     crossed = [_evidence(halves[1]), _evidence(halves[0])]
