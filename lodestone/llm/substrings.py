@@ -189,23 +189,47 @@ def deep_leaves(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return deep
 
 
-def _subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Replies to the texts whose suffixes repeat, for one group."""
-    known = pdf[pdf["kind"] == 1]
-    out = [pd.DataFrame({"row_key": known["row_key"], "blob": known["blob"]})]
-    dealt = pdf.loc[pdf["kind"] == 0, "blob"]
-    if len(dealt):
-        docs, places, marks, keys = _leaves(dealt)
-        found = deep_leaves(keys, marks) & ~marks  # the texts of marked leaves have their replies
-        docs, places = docs[found], places[found]
-        order = np.argsort(docs, kind="stable")
-        docs, places = docs[order], places[order]
-        cuts = np.flatnonzero(np.diff(docs)) + 1
-        if len(docs):
-            out.append(pd.DataFrame({
-                "row_key": docs[np.append(0, cuts)], "blob": [p.astype("<u4").tobytes() for p in np.split(places, cuts)]
-            }))
-    return pd.concat(out, ignore_index=True)
+def _pack_replies(docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text keys in ascending order, the number of places of each, and the places."""
+    order = np.argsort(docs, kind="stable")
+    keys, counts = np.unique(docs[order], return_counts=True)
+    return keys.astype("<i8"), counts.astype("<u4"), places[order].astype("<u4")
+
+
+def _subtree(buckets: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Replies to the texts whose suffixes repeat, for one group: one row for each bucket of texts."""
+        known = pdf[pdf["kind"] == 1]
+        at = [np.frombuffer(x, "<u4") for x in known["blob"]]
+        docs = [np.repeat(known["row_key"].to_numpy(np.int64), [len(x) for x in at])]
+        places = [*at, np.zeros(0, "<u4")]
+        dealt = pdf.loc[pdf["kind"] == 0, "blob"]
+        if len(dealt):
+            leaf_docs, leaf_places, marks, keys = _leaves(dealt)
+            found = deep_leaves(keys, marks) & ~marks  # the texts of marked leaves have their replies
+            docs.append(leaf_docs[found])
+            places.append(leaf_places[found])
+        docs, places = np.concatenate(docs), np.concatenate(places)
+        bucket = docs % buckets
+        out = []
+        for b in np.unique(bucket):
+            keys, counts, here = _pack_replies(docs[bucket == b], places[bucket == b])
+            out.append((b, np.array([len(keys)], "<u4").tobytes() + keys.tobytes() + counts.tobytes() + here.tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "blob"])
+
+    return run
+
+
+def _merge_replies(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All places of each text of a bucket."""
+    docs, places = [], []
+    for blob in pdf["blob"]:
+        n = int(np.frombuffer(blob, "<u4", 1)[0])
+        docs.append(np.repeat(np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)))
+        places.append(np.frombuffer(blob, "<u4", -1, 4 + 12 * n))
+    keys, counts, places = _pack_replies(np.concatenate(docs), np.concatenate(places))
+    parts = np.split(places, np.cumsum(counts)[:-1])
+    return pd.DataFrame({"row_key": keys, "blob": [x.tobytes() for x in parts]})
 
 
 def _words64(h: np.ndarray) -> np.ndarray:
@@ -254,9 +278,8 @@ def _suffix_pass(window: int, run: int, groups: int, heavy: list[np.ndarray]):
         for pdf in _batches(batches):
             words = Words(pdf["row_key"].to_numpy(), list(pdf["text"]))
             repeated = np.zeros(len(words.hash), bool)
-            for d, blobs in enumerate(pdf["blobs"]):
-                for blob in blobs:
-                    repeated[words.first[d] + np.frombuffer(blob, "<u4")] = True
+            for d, blob in enumerate(pdf["blob"]):
+                repeated[words.first[d] + np.frombuffer(blob, "<u4")] = True
             starts = words.windows(window)
             place, _ = anchors(words.hash, window, run)
             starts = starts[repeated[place[starts]]]
@@ -277,13 +300,11 @@ def _suffix_pass(window: int, run: int, groups: int, heavy: list[np.ndarray]):
     return go
 
 
-def covered(n_words: int, blobs, window: int) -> np.ndarray:
+def covered(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
     """Marks the words of a text that a repeated window covers."""
     edge = np.zeros(n_words + 1, np.int64)
-    for blob in blobs if blobs is not None else ():
-        at = np.frombuffer(blob, "<u4")
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, places + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -297,11 +318,11 @@ def _finish(window: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, blobs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "blobs")), strict=True):
+            for doc_id, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "blob")), strict=True):
                 words = text.encode().split()
                 n, spans = len(words), []
-                if blobs is not None:
-                    gone = covered(n, blobs, window)
+                if blob is not None:
+                    gone = covered(n, np.frombuffer(blob, "<u4"), window)
                     edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
                     spans = [{"start": int(a), "end": int(b)} for a, b in edges]
                     words = list(compress(words, ~gone))
@@ -341,13 +362,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     heavy = [np.array([r.prefix for r in common if r.level == i], np.int64).view(np.uint64) for i in (0, 1)]
 
     def replies(table: DataFrame) -> DataFrame:
-        found = table.groupBy("grp").applyInPandas(_subtree, REPLY)
-        return found.groupBy("row_key").agg(F.collect_list("blob").alias("blobs")).hint("shuffle_hash")
+        # A group answers in one row for each bucket of texts, not one for each text it has a leaf of.
+        found = table.groupBy("grp").applyInPandas(_subtree(groups), "bucket int, blob binary")
+        return found.groupBy("bucket").applyInPandas(_merge_replies, REPLY).hint("shuffle_hash")
 
     placed = rows.repartition("row_key")
-    anchored = placed.join(replies(dealt.where("kind < 2")), "row_key").select("row_key", "doc_id", "text", "blobs")
+    anchored = placed.join(replies(dealt.where("kind < 2")), "row_key").select("row_key", "doc_id", "text", "blob")
     suffixes = anchored.mapInPandas(_suffix_pass(window, run, groups, heavy), DEALT)
-    marked = placed.join(replies(suffixes), "row_key", "left").select("doc_id", "text", "blobs")
+    marked = placed.join(replies(suffixes), "row_key", "left").select("doc_id", "text", "blob")
     return marked.mapInArrow(
         _finish(window),
         "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, "
