@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.text import blocks, distinct
+from lodestone.llm.text import blocks, distinct, text_blocks
 from lodestone.session import stage
 
 # XXH64, fixed values.
@@ -91,27 +91,29 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
     """64-bit SimHash of each text; 0 for a text without words."""
     out = np.zeros(len(texts), np.uint64)
-    split = [t.encode().lower().split() if t else [] for t in texts]
-    filled = [i for i, w in enumerate(split) if w]
-    for a, b in blocks([sum(map(len, split[i])) + len(split[i]) for i in filled], BLOCK_BYTES):
-        rows = filled[a:b]
-        n_words = np.array([len(split[i]) for i in rows])
-        buf = b" ".join(b" ".join(split[i]) for i in rows)
+    for a, b in blocks([len(t or "") for t in texts], BLOCK_BYTES):
+        split = [t.encode().lower().split() if t else [] for t in texts[a:b]]
+        filled = [i for i, w in enumerate(split) if w]
+        if not filled:
+            continue
+        n_words = np.array([len(split[i]) for i in filled])
+        buf = b" ".join(b" ".join(split[i]) for i in filled)
         ends = np.append(np.flatnonzero(np.frombuffer(buf, np.uint8) == 0x20), len(buf))
         starts = np.append(0, ends[:-1] + 1)
         counts = np.maximum(n_words - shingle + 1, 1)
-        doc = np.repeat(np.arange(len(rows)), counts)
+        doc = np.repeat(np.arange(len(filled)), counts)
         first = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc] + (np.cumsum(n_words) - n_words)[doc]
         last = first + np.minimum(n_words, shingle)[doc] - 1
         hashes = xxh64_spans(buf, starts[first], ends[last] - starts[first])
-        out[rows] = _majority(hashes, counts)
+        out[a + np.array(filled)] = _majority(hashes, counts)
     return out
 
 
 def _hash_batches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = fingerprints(batch.column("text").to_pylist(), shingle).view(np.int64)
+            parts = [fingerprints(texts, shingle) for texts in text_blocks(batch.column("text"), BLOCK_BYTES)]
+            fps = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
     return run

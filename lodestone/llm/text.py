@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: \x20 and \x09-\x0D separate words, which is what ``bytes.split()`` cuts at too.
 SPACE = np.zeros(256, bool)
@@ -90,5 +93,12 @@ def blocks(lengths: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
+def text_blocks(column: pa.Array, most: int) -> Iterator[list[str | None]]:
+    """The texts of a column in lists of about ``most`` bytes each, so that a batch is never held as Python objects whole."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in blocks(sizes, most):
+        yield column.slice(a, b - a).to_pylist()
+
+
 def sha256(text: str | bytes) -> str:
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import NOT_ALNUM, blocks, distinct, mix, run_hashes, word_hashes
+from lodestone.llm.text import NOT_ALNUM, blocks, distinct, mix, run_hashes, text_blocks, word_hashes
 
 BLOCK_BYTES = 1 << 20
 #: Words in a window, and from one window to the next; neighbours overlap.
@@ -245,6 +245,9 @@ class Model:
     evidence: Evidence
     network: Network
 
+    def column_scores(self, column: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self.scores(texts) for texts in text_blocks(column, BLOCK_BYTES))])
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """For each text, the greatest score of its windows; 0 for a text without words."""
         out = np.zeros(len(texts))
@@ -333,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
 def _score_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.scores(batch.column("text").to_pylist())
+            scores = model.column_scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*batch.schema.names[:-1], "score"])
 
     return run
@@ -356,6 +359,6 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts the model does not call toxic, as they are, in one pass and without a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(text).to_pylist()) < 0.5))
+            yield batch.filter(pa.array(model.column_scores(batch.column(text)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
