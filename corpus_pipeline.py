@@ -38,10 +38,15 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice. Ids differ after the stages before."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Ids differ after the stages before, but for rows without one; those go by the hash of their texts, which differ.
+    """
     rows = docs.select(*COLUMNS)
-    copies = mixing.mix(rows).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    joined = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    name = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+    mixed = mixing.mix(rows.withColumn("_name", name), key="_name").where("copies > 0")
+    copies = mixed.select(F.col("doc_id").alias("_id"), "copies")
+    joined = rows.join(copies, name == F.col("_id"))
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_n")).drop("_n")
 
 
