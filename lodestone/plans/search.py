@@ -351,13 +351,14 @@ def validate_store(spark: SparkSession, folder: str) -> DataFrame:
 
 @plan("collapsed_vectors", """
 SELECT min(d.doc_id) AS first_id, count(*) AS rows_total, count(DISTINCT d.text) AS contents
-FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 100
+FROM documents d JOIN embeddings e ON e.vec_id = (d.doc_id // 2) % (SELECT count(*) FROM embeddings)
 GROUP BY e.embedding HAVING count(DISTINCT d.text) > 1
 """)
 def collapsed_vectors(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    # A store gone wrong in the way this looks for: every hundredth document has the same vector.
-    store = t.documents.join(t.embeddings, F.col("vec_id") == F.col("doc_id") % 100).select(
+    # A store gone wrong in the way this looks for: neighbours by id share a vector, drawn from all of them.
+    place = F.floor(F.col("doc_id") / 2) % t.embeddings.count()
+    store = t.documents.join(t.embeddings, F.col("vec_id") == place).select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), "embedding"
     )
     return store_health.collapsed_vectors(store)

@@ -89,7 +89,7 @@ WITH {CORPUS_SQL},
 batch AS (
     SELECT d.source AS table_name, 'text' AS column_name, CAST(d.doc_id AS VARCHAR) AS row_id,
            concat('revised: ', d.text) AS content, e.embedding
-    FROM documents d JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id % 50
+    FROM documents d JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)
     UNION ALL
     SELECT 'benchmark', 'text', CAST(item_id AS VARCHAR), text, NULL FROM benchmark
 ),
@@ -115,7 +115,7 @@ def upsert_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     store.replace(corpus(t))
     known = (
         t.documents.join(t.labels, "doc_id", "left_semi")
-        .join(t.embeddings, F.col("vec_id") == F.col("doc_id") % 50, "left")
+        .join(t.embeddings, F.col("vec_id") == F.col("doc_id") % t.embeddings.count(), "left")
         .select(
             F.col("source").alias("table_name"), F.lit("text").alias("column_name"),
             F.col("doc_id").cast("string").alias("row_id"), F.concat(F.lit("revised: "), "text").alias("content"), "embedding",
