@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.text import text_blocks
 from lodestone.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -139,6 +140,19 @@ FOUND_SCHEMA = (
 )
 
 
+SPANS = "array<struct<start: bigint, kind: int, end: bigint>>"
+BLOCK_BYTES = 1 << 20
+
+
+def _base_column(texts: pa.Array) -> pa.Array:
+    """The fixed forms in each text; none in a null one."""
+    found = [
+        [{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t or "")]
+        for part in text_blocks(texts, BLOCK_BYTES) for t in part
+    ]
+    return pa.array(found, FOUND.field("base").type)
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -217,9 +231,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .distinct().groupBy("row_key").agg(F.sort_array(F.collect_list("a")).alias("added"))
     )
     names = F.array(*[F.lit(k) for k in KINDS])
-    span = "array<struct<start: bigint, kind: int, end: bigint>>"
     both = found.drop("seen").join(added, "row_key", "left").withColumn(
-        "added", F.coalesce(F.col("added").cast(span), F.array().cast(span))
+        "added", F.coalesce(F.col("added").cast(SPANS), F.array().cast(SPANS))
     )
     spelled = F.transform(
         F.sort_array(F.concat("base", "added")),
@@ -233,14 +246,19 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Spans that overlap are one, named after the first. Null texts stay null.
     """
-    spans = find_personal_data(docs, key, text).select("row_key", F.sort_array(F.concat("base", "added")).alias("spans"))
-    spans = spans.where(F.size("spans") > 0).dropDuplicates(["row_key"])
+    added = find_personal_data(docs, key, text).select("row_key", "added")
+    # Fixed forms are read off the text once more, so that only what the patterns added is joined to the texts. Staged,
+    # Spark sees how little that is; where it is much, the join deals the texts out once.
+    added = stage(added.where(F.size("added") > 0).dropDuplicates(["row_key"]), "added")
     # The row goes as one value, so its columns can have any names.
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(text).alias("body"),
         F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))).alias("key"),
     )
-    joined = rows.join(spans, rows["key"] == spans["row_key"], "left")
+    base = F.arrow_udf(_base_column, SPANS)("body")
+    none = F.array().cast(SPANS)
+    joined = rows.withColumn("base", base).join(added, rows["key"] == added["row_key"], "left")
+    joined = joined.withColumn("spans", F.sort_array(F.concat("base", F.coalesce(F.col("added").cast(SPANS), none))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc, s):
@@ -255,7 +273,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         "spans", start, step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("body"), acc["at"] + 1, F.lit(2**31 - 1))),
     )
-    out = joined.withColumn("clean", F.when(F.col("spans").isNull(), F.col("body")).otherwise(clean))
+    out = joined.withColumn("clean", F.when(F.size("spans") == 0, F.col("body")).otherwise(clean))
     made = {text: F.col("clean")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.char_length("clean").cast(docs.schema["n_chars"].dataType)
