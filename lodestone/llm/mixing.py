@@ -92,7 +92,7 @@ def _reduce(units: DataFrame, seed: int, level: int) -> DataFrame:
     units = units.join(counts, units["source"].eqNullSafe(counts["_source"])).withColumn(
         "_block", F.pmod(F.xxhash64("doc_id", "ordinal", F.lit(seed), F.lit(level)), blocks)
     )
-    # The largest first: what is left at the end of a block is then one of its small units.
+    # The largest first. Of two units the larger mostly stays open, so what a block leaves is one of its large ones.
     turn = F.xxhash64("doc_id", "ordinal", F.lit(seed + 1))
     unit = F.struct((-F.col("size")).alias("rank"), turn.alias("turn"), "doc_id", "ordinal", "size", "p")
     start = F.struct(F.array().cast(DECIDED).alias("done"), F.lit(None).cast(UNIT).alias("held"))
