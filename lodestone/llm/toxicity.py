@@ -320,7 +320,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     """A model from at most ``toxic`` and ``clean`` labelled documents, those with the least hash of their ids.
 
     Rows that ``held_out`` names are left out. Labels are cut to that sample before the texts
-    are looked up, so the texts that reach the driver are bounded in number by it.
+    are looked up, and rows that repeat an id give one text, the least, so the texts that reach the driver are bounded
+    in number by it.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     # At most ``toxic + clean`` rows: small enough to be sent to every task.
@@ -328,7 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
         usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, toxic), (0, clean))
     ]
     chosen = chosen[0].unionByName(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text or ""))
     return fit([r.text for r in rows], [r.toxic for r in rows])
 

@@ -226,6 +226,16 @@ def test_scores_of_odd_rows(odd, model):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if not r.predicted)
 
 
+def test_rows_that_repeat_an_id_are_one_text_to_learn_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: (texts, labels))
+    docs = spark.range(500).selectExpr("if(id < 400, 1, id) as doc_id", "concat('text ', id) as text")
+    labels = docs.distinct().selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic").distinct()
+    learned = [r.doc_id for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()]
+    texts, ones = toxicity.train(docs, labels)
+    assert (len(texts), sum(ones)) == (len(learned), sum(i % 2 for i in learned))
+    assert ("text 0" in texts) == (1 in learned)
+
+
 def test_every_window_counts(model):
     filler = "and of the to " * 3000
     alone = model.scores(["you idiot scum"])[0]
