@@ -21,7 +21,7 @@ _P1, _P2, _P3, _P4, _P5 = (
     for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
 )
 SEED = 42
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Shards are as many as the square root of the distinct fingerprints over this: more of them
 #: search faster, but each boundary makes more fingerprints visit a second shard.
 SHARD_SIZE = 2_048

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.text import NOT_ALNUM, blocks, distinct, mix, run_hashes, text_blocks, word_hashes
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Words in a window, and from one window to the next; neighbours overlap.
 WINDOW, STRIDE = 32, 24
 HIDDEN = 8
@@ -278,7 +278,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     for half in (0, 1):
         rows = np.arange(half, len(texts), 2)
         parts = []
-        for a, b in blocks([len(texts[i] or "") for i in rows], BLOCK_BYTES // 2):
+        for a, b in blocks([len(texts[i] or "") for i in rows], 2 * BLOCK_BYTES):
             parts.append((Corpus([texts[i] for i in rows[a:b]]), label[rows[a:b]]))
         halves.append(parts)
     crossed = [_evidence(halves[1]), _evidence(halves[0])]
