@@ -119,7 +119,7 @@ def _merge_equal(keep: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.sort_values(["vector", "vec_id"], ignore_index=True)
+            pdf = pdf.drop_duplicates(["vector", "vec_id"]).sort_values(["vector", "vec_id"], ignore_index=True)
             yield pdf[pdf.groupby("vector").cumcount() < keep]
 
     return run

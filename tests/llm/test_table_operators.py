@@ -152,6 +152,14 @@ def test_top_k_against_all_products(spark, monkeypatch):
     assert covertree.top_k(df.where("false"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_a_row_repeated_often_takes_one_place(spark):
+    """One id ten times in a batch, beside other ids with the same vector."""
+    rows = [(1, [0.5, 0.5])] * 10 + [(i, [0.5, 0.5]) for i in range(2, 9)] + [(50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(covertree.top_k(df, F.col("vec_id") == 50).collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(i, i, 2 * 256 * 128) for i in range(1, 6)]
+
+
 def test_cover_tree_covers():
     points = np.random.default_rng(5).normal(size=(900, 3))
     tree = covertree.CoverTree(points)
