@@ -9,6 +9,15 @@ from lodestone.llm import mixing, pieces, pii, simhash, toxicity
 from lodestone.session import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that agree in both are equal in all columns.
+ROW = ("_id", "_name")
+
+
+def name_rows(docs: DataFrame) -> DataFrame:
+    """The columns and two that tell rows apart, neither ever null: the id, 0 if there is none, and a hash of the row."""
+    # A hash skips nulls, so it also takes where they are.
+    name = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_id"), name.alias("_name"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +49,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.
 
-    Ids differ after the stages before, but for rows without one; those go by the hash of their texts, which differ.
+    Ids can repeat or be missing, and redaction can make rows equal. One of equal rows meets the numbers of copies of
+    all of them.
     """
-    rows = docs.select(*COLUMNS)
-    name = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    mixed = mixing.mix(rows.withColumn("_name", name), key="_name").where("copies > 0")
-    copies = mixed.select(F.col("doc_id").alias("_id"), "copies")
-    joined = rows.join(copies, name == F.col("_id"))
+    rows = name_rows(docs)
+    mixed = mixing.mix(rows, name="_name").where("copies > 0")
+    copies = mixed.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("name").alias("_name"), "copies")
+    joined = rows.dropDuplicates(ROW).join(copies, [*ROW])
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_n")).drop("_n")
 
 

@@ -113,7 +113,7 @@ def _reduce(units: DataFrame, seed: int, level: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: float = 1.5, most: int = 2,
-    seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source",
+    seed: int = 42, key: str = "doc_id", text: str = "text", source: str = "source", name: str | None = None,
 ) -> DataFrame:
     """How often each document enters the mix: ``doc_id, ordinal, source, size, source_size, target, copies, taken``.
 
@@ -127,13 +127,17 @@ def mix(
     Sizes count words ``[^\\x20\\x09-\\x0D]+`` of the whole text; null or empty text has
     size 0 and is taken 0 times over. Null is a source of its own, the last. Rows that
     repeat a key are told apart by ``ordinal``. Other columns are ignored; an empty
-    table gives no rows. Draws come from hashes of the keys, so reruns agree.
+    table gives no rows. Draws come from hashes of the keys, so reruns agree. ``name``, a
+    column that tells the rows of a key apart, goes along if given.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+    names = ["name"] if name else []
+    rows = docs.select(
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), *(F.col(name).alias(n) for n in names)
+    )
     # Counting words is the costly part; from here on only keys and numbers move.
     rows = stage(rows, "sizes")
-    same = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size")
+    same = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size", *names)
     rows = rows.withColumn("ordinal", F.row_number().over(same))
     totals = stage(
         targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")).drop("_rows"),
@@ -146,7 +150,7 @@ def mix(
     units = stage(
         rows.join(t, rows["source"].eqNullSafe(t["_source"]), "left").select(
             "doc_id", "ordinal", "source", "size", "source_size", "target",
-            F.least(F.lit(most), F.floor(share)).cast("int").alias("base"), (share - F.floor(share)).alias("p"),
+            F.least(F.lit(most), F.floor(share)).cast("int").alias("base"), (share - F.floor(share)).alias("p"), *names,
         ),
         "units",
     )
@@ -172,7 +176,12 @@ def mix(
         F.col("source").alias("_source"), "source_size", "target",
         F.least(F.lit(most), F.floor(share)).cast("int").alias("base"),
     )
-    return whole.join(base, whole["source"].eqNullSafe(base["_source"]), "left").select(
+    mixed = whole.join(base, whole["source"].eqNullSafe(base["_source"]), "left").select(
         "doc_id", "ordinal", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
         F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken"),
     )
+    if not name:
+        return mixed
+    named = units.select(F.col("doc_id").alias("_id"), F.col("ordinal").alias("_ordinal"), "name")
+    at = mixed["doc_id"].eqNullSafe(named["_id"]) & (mixed["ordinal"] == named["_ordinal"])
+    return mixed.join(named, at).drop("_id", "_ordinal")

@@ -311,3 +311,26 @@ def test_pipeline_stage_by_stage(spark):
     for r in pieces.decode(encoded).collect():
         assert r.text == text[r.doc_id]
     assert cp.run(spark, folder).count() == encoded.count()
+
+
+def of_pipeline(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], schema).repartition(3)
+
+
+def test_each_row_enters_the_mix_for_itself(spark):
+    """Equal rows, repeated ids and null ids: as many rows as their own numbers of copies."""
+    import corpus_pipeline as cp
+
+    rows = [(None, "write to [EMAIL] now please", "a")] * 3 + [(None, None, "a"), (42, None, "a"), (42, None, "a"), (0, "zero", "a")]
+    rows += [(7, "one text", "b"), (7, "other text", "b"), (7, "other text", None), (None, "one text", "b"), (8, "eight", "c")]
+    docs = of_pipeline(spark, rows)
+    got = Counter((r.doc_id, r.text, r.source) for r in cp.mix_sources(spark, docs, "").collect())
+    want, at = Counter(), ("doc_id", "source", "size")
+    for r in mixing.mix(docs).collect():
+        want[tuple(r[c] for c in at)] += r.copies
+    sized = Counter()
+    for (i, t, s), n in got.items():
+        sized[i, s, len(words_of(t))] += n
+    assert sized == +want
+    assert all(n <= 2 * rows.count(r) for r, n in got.items())
