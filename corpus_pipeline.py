@@ -30,15 +30,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies, that with the smallest id.
 
-    Of rows that repeat an id, one stays. Rows without an id cannot be named by their group; of those, one stays of
-    each text.
+    Rows that repeat an id are documents of their own if their texts differ, and so are rows without an id, which come
+    after all others. Of rows with one id in one group, that with the least hash stays.
     """
-    rows = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(rows)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # Both steps deal the texts out by id, which takes one shuffle; null ids, which equal nothing, go apart.
-    named = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(rows.where("doc_id is null").dropDuplicates(["text"]))
+    rows = name_rows(docs)
+    least = simhash.least_of_components(rows, "_name")
+    kept = least.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.col("name").alias("_name"))
+    # Both steps deal the texts out by the same columns, which takes one shuffle.
+    return rows.dropDuplicates(ROW).join(kept, [*ROW], "left_semi").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,15 +114,23 @@ def _hash_batches(shingle: int):
         for batch in batches:
             parts = [fingerprints(texts, shingle) for texts in text_blocks(batch.column("text"), BLOCK_BYTES)]
             fps = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps)], [*names, "fp"])
 
     return run
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` for every row, ``fp`` being the 64 bits as a signed number. Null text has no words."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_hash_batches(shingle), "doc_id long, fp long")
+def fingerprint_table(
+    docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text", name: str | None = None
+) -> DataFrame:
+    """``doc_id, fp`` for every row, ``fp`` being the 64 bits as a signed number. Null text has no words.
+
+    ``name``, a column of whole numbers, goes along if given.
+    """
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), *([F.col(name).alias("name")] if name else []), F.col(text).alias("text")
+    )
+    return rows.mapInArrow(_hash_batches(shingle), f"doc_id long, {'name long, ' if name else ''}fp long")
 
 
 class VantageTree:
@@ -282,3 +290,19 @@ def near_duplicates(
     return table.join(named, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def least_of_components(
+    docs: DataFrame, name: str, shingle: int = 3, reach: int = 3, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``doc_id, name`` of the least row by id and name in each component of ``near_duplicates``, null ids last.
+
+    ``name`` is a column of whole numbers that tells rows of one id, or without an id, apart. Least rows are
+    aggregated by fingerprint, then by component, so no row is joined to its group.
+    """
+    table = stage(fingerprint_table(docs, shingle, key, text, name), "hashed")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "name")
+    least = table.groupBy("fp").agg(F.min(row).alias("least"))
+    roots = components(stage(near_links(table, reach), "near"))
+    rooted = least.join(roots, least["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    return rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.name")

@@ -334,3 +334,27 @@ def test_each_row_enters_the_mix_for_itself(spark):
         sized[i, s, len(words_of(t))] += n
     assert sized == +want
     assert all(n <= 2 * rows.count(r) for r, n in got.items())
+
+
+def test_near_copies_keep_one_row_of_each_group(spark):
+    """Texts that differ are documents of their own, whatever their ids; near-copies are one, with or without ids."""
+    import corpus_pipeline as cp
+    from tests.llm.test_text_operators import plain_components, plain_fingerprint
+
+    texts = [" ".join(f"{c}{i * k % 97}" for i in range(60)) for k, c in enumerate("abcdefgh", 2)]
+    near = [f"{t} and" for t in texts]
+    rows = [(5, t, "a") for t in texts[:4]] + [(5, texts[1], "a"), (3, texts[0], "a"), (None, texts[2], "a"), (None, near[2], "a")]
+    rows += [(None, texts[5], "a"), (None, texts[5], "b"), (None, texts[6], "a"), (0, texts[7], "a"), (None, None, "a"), (9, "", "a")]
+    prints = [plain_fingerprint(t) for _, t, _ in rows]
+    groups = plain_components(list(enumerate(prints)), 3)
+    least = {}
+    for (i, _, _), g in zip(rows, groups, strict=True):
+        least[g] = min(least.get(g, 99), 99 if i is None else i)
+    docs = of_pipeline(spark, rows)
+    got = cp.drop_near_copies(spark, docs, "").collect()
+    assert len(least) == 8 and plain_fingerprint(near[2]) != plain_fingerprint(texts[2])
+    group = {plain_fingerprint(t): g for (_, t, _), g in zip(rows, groups, strict=True)}
+    kept = {group[plain_fingerprint(r.text)]: 99 if r.doc_id is None else r.doc_id for r in got}
+    assert kept == least and len(got) == len(least)
+    again = cp.drop_near_copies(spark, docs.orderBy(F.desc("text")), "").collect()
+    assert Counter(again) == Counter(got)
