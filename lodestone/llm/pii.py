@@ -18,6 +18,9 @@ ROUNDS = 3
 #: A pattern counts from so many different identifiers of a kind on, and from this confidence on.
 LEAST_SUPPORT = 3
 LEAST_CONFIDENCE = 0.9
+#: What a token without a kind as yet counts against its patterns, where one with another kind counts 1. One in ten
+#: arbitrary numbers passes for a card; with nine others for each, a pattern of those stays below the confidence.
+UNSEEN = 0.02
 #: Digits that a token needs to be taken for a possible identifier.
 LEAST_DIGITS = 5
 
@@ -173,30 +176,40 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def discover(
     edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
-    least_support: int = LEAST_SUPPORT, least_confidence: float = LEAST_CONFIDENCE,
+    least_support: int = LEAST_SUPPORT, least_confidence: float = LEAST_CONFIDENCE, unseen: float = UNSEEN,
 ) -> DataFrame:
     """``instance, kind, score``: seeds, and instances that confident patterns lead to.
 
     ``edges`` has ``pattern, instance``, once each; ``seeds`` has ``instance, kind``. In each
-    round a pattern's confidence for a kind is the sum of its instances' scores over the
-    number of its instances, and an instance that is no seed scores the best confidence of
-    its patterns that have support. All of it is joins and partial sums over the graph, so a
-    pattern or an identifier that fills a third of the corpus is aggregated where it is read.
+    round a pattern's confidence for a kind is the sum of its instances' scores of that kind over
+    the number of its instances of any kind, each one without a kind as yet counting ``unseen``.
+    An instance without a kind gets that of the most confident of its patterns that have support,
+    and its confidence as score, and keeps both. All of it
+    is joins and partial sums over the graph, so a pattern or an identifier that fills a third of
+    the corpus is aggregated where it is read.
     """
     sizes = stage(edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= least_support), "patterns")
     edges = stage(edges.join(sizes, "pattern"), "edges")
-    first = seeds.select("instance", "kind", F.lit(1.0).alias("score"))
-    scores = first
+    scores = seeds.select("instance", "kind", F.lit(1.0).alias("score"))
     for _ in range(rounds):
-        rated = (
-            edges.join(scores, "instance").groupBy("pattern", "size", "kind")
-            .agg(F.sum("score").alias("sum"), F.count("*").alias("support"))
-            .where((F.col("support") >= least_support) & (F.col("sum") / F.col("size") >= least_confidence))
-            .select("pattern", "kind", (F.col("sum") / F.col("size")).alias("confidence"))
+        kinds = edges.join(scores, "instance").groupBy("pattern", "size").agg(
+            F.count("*").alias("known"),
+            *(F.sum(F.when(F.col("kind") == i, F.col("score"))).alias(f"sum_{i}") for i in range(len(KINDS))),
+            *(F.count(F.when(F.col("kind") == i, 1)).alias(f"support_{i}") for i in range(len(KINDS))),
         )
-        led = edges.join(rated, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
-        led = led.join(seeds.select("instance"), "instance", "left_anti")
-        scores = stage(first.unionByName(led), "scores")
+        weight = F.col("known") + F.lit(float(unseen)) * (F.col("size") - F.col("known"))
+        best = F.greatest(*(
+            F.when(
+                F.col(f"support_{i}") >= least_support,
+                F.struct((F.col(f"sum_{i}") / weight).alias("score"), F.lit(-i).alias("place")),
+            )
+            for i in range(len(KINDS))
+        ))
+        rated = kinds.select("pattern", best.alias("best")).where(F.col("best.score") >= least_confidence)
+        led = edges.join(rated, "pattern").groupBy("instance").agg(F.max("best").alias("best"))
+        led = led.select("instance", (-F.col("best.place")).alias("kind"), F.col("best.score").alias("score"))
+        led = stage(led.join(scores.select("instance"), "instance", "left_anti"), "led")
+        scores = stage(scores.unionByName(led), "scores")
     return scores
 
 
@@ -222,12 +235,9 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     ).distinct()
     seeds = instances.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
     scores = discover(edges, stage(seeds, "seeds"))
-    best = scores.groupBy("instance").agg(F.max(F.struct("score", -F.col("kind"))).alias("b")).select(
-        "instance", (-F.col("b.col2")).alias("kind")
-    )
     fresh = instances.where("kind is null").select("row_key", "instance", "start", "end")
     added = (
-        fresh.join(best, "instance").select("row_key", F.struct("start", F.col("kind").cast("int"), "end").alias("a"))
+        fresh.join(scores.select("instance", "kind"), "instance").select("row_key", F.struct("start", F.col("kind").cast("int"), "end").alias("a"))
         .distinct().groupBy("row_key").agg(F.sort_array(F.collect_list("a")).alias("added"))
     )
     names = F.array(*[F.lit(k) for k in KINDS])

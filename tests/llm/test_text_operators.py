@@ -281,6 +281,23 @@ def test_contexts_of_seeds_lead_to_unseen_identifiers(spark):
     assert rows[201].spans == "card:10:18" and rows[202].spans == ""
 
 
+def found_in(spark, texts):
+    rows = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: r.spans.split(":")[0] for r in rows}
+
+
+@pytest.mark.parametrize("seeds, unseen", [(5, 5), (3, 12), (20, 3)])
+def test_unseen_identifiers_are_found_though_they_are_common(spark, seeds, unseen):
+    texts = [f"or call me at +49 30 12345{i:02d} tonight" for i in range(seeds)]
+    texts += [f"or call me at 555-01{i:02d} tonight" for i in range(unseen)]
+    # A context of two kinds, and one of numbers of which one in ten passes for a card, lead to nothing.
+    texts += [f"it came from {x} yesterday" for i in range(4) for x in (f"a{i}@b.cd", f"10.0.1.{i}", f"70000{i}")]
+    texts += [f"the parcel {40000000000000 + i} left" for i in range(100)]
+    kinds = found_in(spark, texts)
+    for i, t in enumerate(texts):
+        assert kinds[i] == ("phone" if "call" in t else pii.KINDS[plain_spans(t)[0][1]] if plain_spans(t) else "")
+
+
 def test_redaction(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns
