@@ -14,7 +14,6 @@ from lodestone.llm.text import text_blocks
 from lodestone.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 #: A pattern counts from so many different identifiers of a kind on, and from this confidence on.
 LEAST_SUPPORT = 3
 LEAST_CONFIDENCE = 0.9
@@ -175,7 +174,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def discover(
-    edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
+    edges: DataFrame, seeds: DataFrame,
     least_support: int = LEAST_SUPPORT, least_confidence: float = LEAST_CONFIDENCE, unseen: float = UNSEEN,
 ) -> DataFrame:
     """``instance, kind, score``: seeds, and instances that confident patterns lead to.
@@ -184,14 +183,14 @@ def discover(
     round a pattern's confidence for a kind is the sum of its instances' scores of that kind over
     the number of its instances of any kind, each one without a kind as yet counting ``unseen``.
     An instance without a kind gets that of the most confident of its patterns that have support,
-    and its confidence as score, and keeps both. All of it
+    and its confidence as score, and keeps both. Rounds go on until one adds nothing. All of it
     is joins and partial sums over the graph, so a pattern or an identifier that fills a third of
     the corpus is aggregated where it is read.
     """
     sizes = stage(edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= least_support), "patterns")
     edges = stage(edges.join(sizes, "pattern"), "edges")
     scores = seeds.select("instance", "kind", F.lit(1.0).alias("score"))
-    for _ in range(rounds):
+    while True:
         kinds = edges.join(scores, "instance").groupBy("pattern", "size").agg(
             F.count("*").alias("known"),
             *(F.sum(F.when(F.col("kind") == i, F.col("score"))).alias(f"sum_{i}") for i in range(len(KINDS))),
@@ -209,8 +208,9 @@ def discover(
         led = edges.join(rated, "pattern").groupBy("instance").agg(F.max("best").alias("best"))
         led = led.select("instance", (-F.col("best.place")).alias("kind"), F.col("best.score").alias("score"))
         led = stage(led.join(scores.select("instance"), "instance", "left_anti"), "led")
+        if led.isEmpty():
+            return scores
         scores = stage(scores.unionByName(led), "scores")
-    return scores
 
 
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     ``base`` has the fixed forms (leftmost, not overlapping within a kind), which the counts
     and ``base_sha256`` are of. They are the seeds: the words around them become patterns,
-    the graph of patterns and tokens with an ``@`` or five digits is scored in rounds, and
+    the graph of patterns and tokens with an ``@`` or five digits is scored until nothing is added, and
     every occurrence of a token that a confident pattern led to is in ``added``, with the kind
     of the pattern. ``spans`` is the text of both, ``kind:start:end`` by start and kind,
     joined by commas; offsets are code points, ends exclusive. Null and empty texts have

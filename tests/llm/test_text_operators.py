@@ -298,6 +298,13 @@ def test_unseen_identifiers_are_found_though_they_are_common(spark, seeds, unsee
         assert kinds[i] == ("phone" if "call" in t else pii.KINDS[plain_spans(t)[0][1]] if plain_spans(t) else "")
 
 
+def test_contexts_lead_on_until_nothing_is_added(spark):
+    hops = 5
+    tokens = [[f"u{i}@hop.org" for i in range(3)]] + [[f"u{i}@hop{h}" for i in range(3)] for h in range(hops)]
+    texts = [f"so go{h} by{h} {x} now{h}" for h in range(hops) for x in tokens[h] + tokens[h + 1]]
+    assert set(found_in(spark, texts).values()) == {"email"}
+
+
 def test_redaction(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns
