@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.text import NOT_ALNUM, blocks, distinct, mix, run_hashes, text_blocks, word_hashes
 
 BLOCK_BYTES = 1 << 18
-#: Words in a window, and from one window to the next; neighbours overlap.
-WINDOW, STRIDE = 32, 24
+#: Words in a window, and from one window to the next; neighbours overlap, and WINDOW - STRIDE + 1 words in a row are
+#: together in one of them wherever they stand.
+WINDOW, STRIDE = 32, 8
+#: From one window to the next where those to train on are chosen, so that these are not all of one place.
+FIT_STRIDE = 24
 HIDDEN = 8
 #: Labelled documents that the network is fitted on at most, by label.
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
@@ -65,15 +68,15 @@ class Corpus:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word indices of all windows (-1 after the end of a short text), their texts, their lengths.
 
-        Windows start every STRIDE words; the last one ends with the text.
+        Windows start every ``stride`` words; the last one ends with the text.
         """
-        counts = np.where(self.count == 0, 0, np.maximum(1, -(-(self.count - WINDOW) // STRIDE) + 1))
+        counts = np.where(self.count == 0, 0, np.maximum(1, -(-(self.count - WINDOW) // stride) + 1))
         doc = np.repeat(np.arange(len(counts)), counts)
         nth = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
-        begin = np.maximum(0, np.minimum(nth * STRIDE, self.count[doc] - WINDOW))
+        begin = np.maximum(0, np.minimum(nth * stride, self.count[doc] - WINDOW))
         size = np.minimum(WINDOW, self.count[doc])
         place = (self.first[doc] + begin)[:, None] + np.arange(WINDOW)
         inside = np.arange(WINDOW) < size[:, None]
@@ -289,7 +292,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         for parts, evidence in zip(halves, crossed, strict=True):
             for corpus, y in parts:
                 table = evidence.inputs(corpus)
-                windows, doc, _ = corpus.windows()
+                windows, doc, _ = corpus.windows(FIT_STRIDE)
                 if not len(doc):
                     continue
                 if phase:

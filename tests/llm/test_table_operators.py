@@ -253,6 +253,15 @@ def test_every_window_counts(model):
     assert model.scores([filler])[0] < 0.5
 
 
+def test_a_passage_of_25_words_is_whole_in_a_window_wherever_it_stands():
+    words = [f"w{i}" for i in range(200)]
+    corpus = toxicity.Corpus([" ".join(words)])
+    place = {int(w): i for i, w in enumerate(corpus.word)}
+    held = [{place[int(w)] for w in row} for row in corpus.windows()[0]]
+    for offset in range(len(words) - 24):
+        assert any(row >= set(range(offset, offset + 25)) for row in held)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(3)
