@@ -181,10 +181,6 @@ def length_class(size: int, likeness: float) -> int:
     return int(np.floor(np.log(max(size, 1)) / -np.log(likeness) + 1e-9))
 
 
-#: Sets that are compared with each other at once.
-BLOCK_SETS = 256
-
-
 def _class_links(likeness: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between the sets of one block and those that share a rare signature with them: a forest."""
@@ -231,8 +227,8 @@ def near_duplicates(
     below, under each signature of its prefix: the ``size - ceil(likeness * size) + 1``
     rarest, of which two alike sets must share one. Within a partition, pairs are pruned by
     size. Null text is empty; null ids are never the smallest; an empty table gives no rows.
-    A partition is one group in memory: the distinct sets of near-copies that share one rare
-    signature and a length class.
+    A partition is one group in memory and one task, whose time grows with the square of its
+    sets: the distinct sets of near-copies that share one rare signature and a length class.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = stage(
