@@ -62,7 +62,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the fixed forms, kind being a place in ``KINDS``; ends are exclusive."""
     out = [(a, 0, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        # Leading zeros go first: int() refuses numbers of thousands of digits.
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if 12 <= m.end() - m.start():
@@ -146,13 +147,24 @@ SPANS = "array<struct<start: bigint, kind: int, end: bigint>>"
 BLOCK_BYTES = 1 << 20
 
 
-def _base_column(texts: pa.Array) -> pa.Array:
-    """The fixed forms in each text; none in a null one."""
-    found = [
-        [{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t or "")]
-        for part in text_blocks(texts, BLOCK_BYTES) for t in part
-    ]
-    return pa.array(found, FOUND.field("base").type)
+def replace_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span replaced by its kind in brackets; spans that overlap are one, named after the first."""
+    out, at = [], 0
+    for start, kind, end in sorted(spans):
+        if start >= at:
+            out += (text[at:start], f"[{KINDS[kind].upper()}]")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def _redacted_column(texts: pa.Array, added: pa.Array) -> pa.Array:
+    """Each text without its fixed forms and the spans added; null where there are none."""
+    out, more = [], iter(added)
+    for part in text_blocks(texts, BLOCK_BYTES):
+        for text, extra in zip(part, more):
+            spans = base_spans(text or "") + [(s["start"], s["kind"], s["end"]) for s in extra.as_py() or ()]
+            out.append(replace_spans(text, spans) if text and spans else None)
+    return pa.array(out, pa.string())
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +266,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span found replaced by its kind in brackets, and ``n_chars``, if there, counted anew.
 
-    Spans that overlap are one, named after the first. Null texts stay null.
+    Spans that overlap are one, named after the first. Null texts stay null, empty ones empty. Repeated rows
+    each get a row, other columns stay as they are, and an empty table gives no rows.
     """
     added = find_personal_data(docs, key, text).select("row_key", "added")
     # Fixed forms are read off the text once more, so that only what the patterns added is joined to the texts. Staged,
@@ -265,25 +278,10 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         F.struct(*docs.columns).alias("row"), F.col(text).alias("body"),
         F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))).alias("key"),
     )
-    base = F.arrow_udf(_base_column, SPANS)("body")
-    none = F.array().cast(SPANS)
-    joined = rows.withColumn("base", base).join(added, rows["key"] == added["row_key"], "left")
-    joined = joined.withColumn("spans", F.sort_array(F.concat("base", F.coalesce(F.col("added").cast(SPANS), none))))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc, s):
-        gap = F.substring(F.col("body"), acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))
-        more = F.concat(acc["out"], F.array(F.concat(gap, F.get(names, s["kind"]))))
-        fresh = F.struct(more.alias("out"), s["end"].cast("int").alias("at"))
-        same = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"].cast("int")).alias("at"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(same)
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate(
-        "spans", start, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("body"), acc["at"] + 1, F.lit(2**31 - 1))),
-    )
-    out = joined.withColumn("clean", F.when(F.size("spans") == 0, F.col("body")).otherwise(clean))
+    joined = rows.join(added, rows["key"] == added["row_key"], "left")
+    # One pass over the text in the worker; what has no spans does not come back from there.
+    clean = F.arrow_udf(_redacted_column, "string")("body", F.col("added").cast(SPANS))
+    out = joined.withColumn("clean", F.coalesce(clean, "body"))
     made = {text: F.col("clean")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.char_length("clean").cast(docs.schema["n_chars"].dataType)

@@ -68,6 +68,9 @@ def test_fingerprints_of_odd_rows(odd):
     rows = spots.compare_with_next(odd.where("doc_id is null or doc_id != 9")).collect()
     check_fingerprints(rows, [(i, t or "") for i, t, _ in ODD_TEXTS if i != 9])
     assert spots.compare_with_next(odd.where("false")).collect() == []
+    least = odd.limit(0).sparkSession.createDataFrame([(-(2**63), "z"), (2**63 - 1, "y"), (None, "a"), (0, "b")], "doc_id long, text string")
+    edited = {r.doc_id: r.edited_sha256 for r in spots.compare_with_next(least).collect()}
+    assert edited == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((2**63 - 1, "y"), (0, "b"), (-(2**63), "z"), (None, "a"))}
     alone = spots.compare_with_next(odd.where("doc_id = 1")).first()
     assert alone.near_next == 1.0
 
@@ -305,6 +308,26 @@ def test_contexts_lead_on_until_nothing_is_added(spark):
     assert set(found_in(spark, texts).values()) == {"email"}
 
 
+def test_very_long_numbers_are_no_addresses(spark):
+    digits = "7" * 5_000
+    text = f"{digits}.1.1.1 and {'0' * 5_000}1.1.1.255 and 1.2.3.{digits}"
+    spans = pii.base_spans(text)
+    assert [(k, text[a:b].lstrip("0")) for a, k, b in spans if k == 1] == [(1, "1.1.1.255")]
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    assert pii.find_personal_data(docs).first().n_ip == 1 and "[IP]" in pii.redact(docs).first().text
+
+
+def test_redaction_of_many_spans(spark):
+    text = "".join(f"u{i}@mail.example and " for i in range(32_000))
+    docs = spark.createDataFrame([(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, None, None)], "doc_id long, text string, n_chars long")
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in pii.redact(docs).collect())
+    clean = "[EMAIL] and " * 32_000
+    assert got == [(1, clean, len(clean))] * 2 + [(2, "", 0), (3, None, None)]
+    assert pii.redact(docs.where("false")).collect() == []
+    assert pii.replace_spans("abcdefgh", [(4, 0, 6), (1, 3, 3), (2, 1, 5)]) == "a[PHONE]gh"
+    assert pii.replace_spans("abcdefgh", [(4, 1, 6), (1, 0, 2)]) == "a[EMAIL]cd[IP]gh"
+
+
 def test_redaction(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns
