@@ -146,8 +146,9 @@ def compare_with_next(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Ascending order of rank is descending order of id; null ids, if any, come last.
-    rows = rows.withColumn("_rank", F.when(F.col("doc_id").isNull(), F.lit((1 << 63) - 1)).otherwise(-F.col("doc_id")))
+    # Ascending order of rank is descending order of id; null ids, if any, come last, behind the smallest id.
+    rows = rows.withColumn("_rank", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)))
+    rows = rows.withColumn("_none", F.col("doc_id").isNull())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
     cuts = rows.agg(
         F.percentile_approx("_rank", [i / parts for i in range(parts)], 100 * parts).alias("at"), F.min("_rank").alias("least")
@@ -159,15 +160,15 @@ def compare_with_next(
     # The whole order is told by rank and text, so the first row of a range is its least in both.
     firsts = stage(
         rows.withColumn("_home", home).where(F.col("_rank").isin(bounds))
-        .groupBy("_home").agg(F.min(F.struct("_rank", "text", "doc_id")).alias("f")).select("_home", "f.*"),
+        .groupBy("_home").agg(F.min(F.struct("_rank", "_none", "text", "doc_id")).alias("f")).select("_home", "f.*"),
         "firsts",
     )
-    own = rows.select(home.alias("_range"), F.lit(True).alias("_own"), "doc_id", "text", "_rank")
+    own = rows.select(home.alias("_range"), F.lit(True).alias("_own"), "doc_id", "text", "_rank", "_none")
     follow = firsts.select(
-        F.pmod(F.col("_home") - 1, F.lit(len(bounds))).alias("_range"), F.lit(False).alias("_own"), "doc_id", "text", "_rank"
+        F.pmod(F.col("_home") - 1, F.lit(len(bounds))).alias("_range"), F.lit(False).alias("_own"), "doc_id", "text", "_rank", "_none"
     )
     ordered = own.unionByName(follow).repartition("_range").sortWithinPartitions(
-        F.col("_range"), F.col("_own").desc(), "_rank", "text"
+        F.col("_range"), F.col("_own").desc(), "_rank", "_none", "text"
     )
     return ordered.select("_range", "_own", "doc_id", "text").mapInArrow(
         _compare_with_next(anchor_hashes(anchors)),
