@@ -18,6 +18,8 @@ LEAF = 64
 SHARD_ROWS = 8192
 GROUP_ROWS = 2048
 SHRINK = 1.3
+#: Products below are exact in doubles; the largest long.
+EXACT, LONG = 2.0**52, 2**63 - 1
 
 
 class CoverTree:
@@ -114,6 +116,18 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, id
     return best
 
 
+def plain_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> Best:
+    """``dual_search`` without trees, in Python's integers, for components too large for exact doubles."""
+    best = Best(query_ids, k)
+    whole = [np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (queries, data)]
+    for a in range(0, len(data), LEAF):
+        scores = np.clip(whole[0] @ whole[1][a : a + LEAF].T, -LONG, LONG)
+        for q, row in enumerate(scores):
+            found = [(-int(s), int(i)) for s, i in zip(row, ids[a : a + LEAF], strict=True) if i != query_ids[q]]
+            best.rows[q] = sorted(best.rows[q] + found)[:k]
+    return best
+
+
 def _merge_equal(keep: int):
     """Of equal vectors in a batch, the smallest ids: more can be in no result."""
 
@@ -135,9 +149,8 @@ def _search(k: int):
         if len(data) and len(queries):
             q, d = matrix(queries), matrix(data)
             largest = max(float(np.abs(q).max(initial=0)), 1) * max(float(np.abs(d).max(initial=0)), 1) * max(q.shape[1], 1)
-            if largest >= 2**52:
-                raise ValueError("components are too large for exact scores")
-            best = dual_search(q, queries["vec_id"].to_numpy(), d, data["vec_id"].to_numpy(), k)
+            search = dual_search if largest < EXACT else plain_search
+            best = search(q, queries["vec_id"].to_numpy(), d, data["vec_id"].to_numpy(), k)
             for q_id, rows in zip(best.ids, best.rows, strict=True):
                 for score, vec_id in rows:
                     out["query_id"].append(int(q_id))
@@ -174,7 +187,8 @@ def top_k(
     id. Rows with a null id or vector, or with a null or non-finite component, take no part;
     a vector scores only with those of its dimension. A repeated query row is asked once,
     a repeated row counts once for each id. Other columns are ignored; an empty table gives no
-    rows. Components so large that a score could pass 2**52 raise an error.
+    rows. Where components are so large that a score could pass 2**52, the shard is multiplied as Python's
+    integers, without trees; a score past what a long holds counts as the nearest long.
 
     Data rows are cut into shards along a projection, queries into groups; each shard meets
     each group in one task, which holds one of both. Of equal vectors only the k + 1

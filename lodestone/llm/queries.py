@@ -58,7 +58,17 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.turn_rows(table.unionByName(extra))))
 
 
-@query
+@query(
+    sql="""
+WITH r AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER best::INT AS rank, r.vec_id, list_dot_product(q.v, r.v)::BIGINT AS score
+FROM r q JOIN r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 50 = 0
+WINDOW best AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, r.v) DESC, r.vec_id)
+QUALIFY row_number() OVER best <= 5
+"""
+)
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return covertree.top_k(vectors, F.col("vec_id") % 50 == 0)

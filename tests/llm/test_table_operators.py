@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -111,6 +112,7 @@ def test_layouts(spark):
         (7, {"system": "s", "instruction": "i", "output": "o"}), (8, {"unknown": 1}), (9, [1]),
     ]
     rows = [(i, json.dumps(r), "?") for i, r in records] + [(10, None, "?"), (11, "{", "?"), (11, "{", "?")]
+    rows.append((12, '{"messages": ' + "[" * 200_000 + "]" * 200_000 + "}", "?"))
     got = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, record string, role string")).collect()
     turns = defaultdict(list)
     for r in sorted(got, key=lambda r: (r.conv_id, r.seq or 0)):
@@ -160,6 +162,19 @@ def test_a_row_repeated_often_takes_one_place(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in got] == [(i, i, 2 * 256 * 128) for i in range(1, 6)]
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 9)).tolist()) for i in range(150)]
+    rows += [(200, [32768.0, 0.0, 0.0]), (201, [1e6, 1e6, 1e6]), (202, [1e300, 0.0, 0.0]), (203, [-1e300, 0.0, 0.0]), (250, [1e200, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        scores = sorted((-max(-(2**63 - 1), min(2**63 - 1, sum(x * y for x, y in zip(whole[q], whole[i], strict=True)))), i) for i in whole if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:5], 1)]
+    assert sorted(tuple(r) for r in covertree.top_k(df, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
+
+
 def test_cover_tree_covers():
     points = np.random.default_rng(5).normal(size=(900, 3))
     tree = covertree.CoverTree(points)
