@@ -92,9 +92,9 @@ def _record_fingerprints(records: pd.Series) -> pd.Series:
     def one(text):
         try:
             value = json.loads(text)
-        except (TypeError, ValueError):
+            return fingerprint(_value_paths(value)) if isinstance(value, dict) else None
+        except (TypeError, ValueError, RecursionError):  # null, no JSON, or nested too deep for any layout
             return None
-        return fingerprint(_value_paths(value)) if isinstance(value, dict) else None
 
     return records.map(one)
 
