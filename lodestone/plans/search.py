@@ -110,7 +110,7 @@ def build_postings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_PASSAGES = "(SELECT item_id AS query_id, text AS query_text FROM benchmark)"
+PASSAGES = "(SELECT item_id AS query_id, text AS query_text FROM benchmark)"
 _TEXTS = "(SELECT doc_id AS id, text AS content FROM documents)"
 
 
@@ -119,7 +119,7 @@ def _texts(t: Tables) -> DataFrame:
 
 
 @plan("match_all_terms", f"""
-WITH {keyword_sql(_PASSAGES, _TEXTS, None)}
+WITH {keyword_sql(PASSAGES, _TEXTS, None)}
 SELECT query_id, id, score FROM kw
 """)
 def match_all_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,7 +177,7 @@ def keyword_ts_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @plan("keyword_topk_indexed", f"""
-WITH {keyword_sql(_PASSAGES, _TEXTS, 10)}
+WITH {keyword_sql(PASSAGES, _TEXTS, 10)}
 SELECT query_id, id, score, CAST(r AS BIGINT) AS rank FROM kw
 """)
 def keyword_topk_indexed(spark: SparkSession, folder: str) -> DataFrame:

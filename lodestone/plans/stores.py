@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.keyword import TextIndex, match_rank
 from lodestone.operators.relational import money
 from lodestone.plans.registry import Tables, plan
+from lodestone.plans.search import PASSAGES, keyword_sql
 from lodestone.plans.standins import ASK, CORPUS_SQL, ITEMS_SQL, corpus, ops_items, ops_runs
 from lodestone.session import scratch_path
 from lodestone.sources.store import EmbeddingStore, RunHistory
@@ -84,8 +86,7 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@plan("upsert_embeddings", f"""
-WITH {CORPUS_SQL},
+MERGED_SQL = f"""{CORPUS_SQL},
 batch AS (
     SELECT d.source AS table_name, 'text' AS column_name, CAST(d.doc_id AS VARCHAR) AS row_id,
            concat('revised: ', d.text) AS content, e.embedding
@@ -106,13 +107,11 @@ merged AS (
            CASE WHEN b.row_id IS NULL THEN c.embedding ELSE b.embedding END AS embedding
     FROM corpus c LEFT JOIN batch b USING (table_name, column_name, row_id)
     UNION ALL SELECT id, table_name, column_name, row_id, content, embedding FROM added
-)
-SELECT id, table_name, column_name, row_id, content, embedding[1]::DOUBLE AS first_value FROM merged
-""")
-def upsert_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    t = Tables(spark, folder)
-    store = EmbeddingStore(spark, scratch_path(spark, "store"))
-    store.replace(corpus(t))
+)"""
+
+
+def _revisions(t: Tables) -> DataFrame:
+    """A batch that revises the labelled documents and adds the benchmark passages."""
     known = (
         t.documents.join(t.labels, "doc_id", "left_semi")
         .join(t.embeddings, F.col("vec_id") == F.col("doc_id") % t.embeddings.count(), "left")
@@ -126,13 +125,42 @@ def upsert_embeddings(spark: SparkSession, folder: str) -> DataFrame:
         F.col("item_id").cast("string").alias("row_id"), F.col("text").alias("content"),
         F.lit(None).cast("array<float>").alias("embedding"),
     )
-    store.upsert(known.unionByName(new))
+    return known.unionByName(new)
+
+
+@plan("upsert_embeddings", f"""
+WITH {MERGED_SQL}
+SELECT id, table_name, column_name, row_id, content, embedding[1]::DOUBLE AS first_value FROM merged
+""")
+def upsert_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    store = EmbeddingStore(spark, scratch_path(spark, "store"))
+    store.replace(corpus(t))
+    store.upsert(_revisions(t))
     return store.read().select(
         "id", "table_name", "column_name", "row_id", "content",
         F.get("embedding", F.lit(0)).cast("double").alias("first_value"),
     )
 
 
+@plan("keyword_after_upsert", f"""
+WITH {MERGED_SQL}, {keyword_sql(PASSAGES, "merged", 10)}
+SELECT query_id, id, score, CAST(r AS BIGINT) AS rank FROM kw
+""")
+def keyword_after_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """The index follows an upsert by a segment of the batch; nothing is indexed anew."""
+    t = Tables(spark, folder)
+    store = EmbeddingStore(spark, scratch_path(spark, "store"))
+    store.replace(corpus(t))
+    path = f"{scratch_path(spark, 'index')}/text"
+    TextIndex.write(store.read(), path, buckets=16, covers=store.state())
+    store.upsert(_revisions(t))
+    index = TextIndex.read(spark, path)
+    index.append(store.changed_since(index.covers), covers=store.state())
+    passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return match_rank(passages, TextIndex.read(spark, path, covers=store.state()), 10)
+
+
 _FISCAL = "year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END"
 
 

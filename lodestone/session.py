@@ -52,6 +52,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def finished(spark: SparkSession, path: str, prefix: str, mark: str) -> list[int]:
+    """The numbers n of the folders ``path/<prefix>n`` in which ``mark`` was written to its end, ascending."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    numbers = [int(n[len(prefix) :]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith(prefix)]
+    return sorted(n for n in numbers if fs.exists(_fs(spark, f"{path}/{prefix}{n}/{mark}/_SUCCESS")[1]))
+
+
 def stage(df: DataFrame, label: str = "staged") -> DataFrame:
     """Write ``df`` to the shared scratch area and read it back.
 

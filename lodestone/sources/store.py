@@ -185,14 +185,13 @@ class EmbeddingStore:
     """The embedding store as a base and the batches upserted since. One writer at a time.
 
     An upsert writes the batch and nothing else, however large the store. Reading puts
-    the newest row of each changed key in place of the base's; the base is filtered
-    where it lies, since the few changed keys are broadcast. ``compact`` folds the
-    batches into a new base, which happens by itself every ``MAX_BATCHES`` upserts.
+    the newest row of each changed key in place of the base's; changed keys that are few are
+    broadcast to the base, many are met by a shuffle of its rows. ``compact`` folds the batches
+    into a new base; it is a job of its own, which no upsert starts. ``state`` names what has been
+    written, and ``changed_since`` reads what came after, so an index can follow the store.
     Files are partitioned by table and column, so a search of one table reads no other.
     """
 
-    MAX_BATCHES = 16
-
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
@@ -222,13 +221,25 @@ class EmbeddingStore:
         newest = latest_per(reduce(DataFrame.unionByName, changed), STORE_KEY, [F.col("_batch").desc()]).drop("_batch")
         return rows.join(newest.select(*STORE_KEY), STORE_KEY, "left_anti").select(*newest.columns).unionByName(newest)
 
+    def state(self) -> str:
+        """Names what the store holds: its version and the last batch in it."""
+        version = self._version()
+        return f"{version}.{max(self._batches(version), default=0)}"
+
+    def changed_since(self, state: str) -> DataFrame:
+        """The newest row of every key upserted after ``state``; ValueError if the base was written anew since."""
+        version, batch = map(int, state.split("."))
+        if version != self._version():
+            raise ValueError(f"the base was written anew after {state}")
+        later = [self._rows(version, n).withColumn("_batch", F.lit(n)) for n in self._batches(version) if n > batch]
+        if not later:
+            return self.read().limit(0)
+        return latest_per(reduce(DataFrame.unionByName, later), STORE_KEY, [F.col("_batch").desc()]).drop("_batch")
+
     def upsert(self, batch: DataFrame, order_by: str | None = None) -> None:
         """Write ``batch``; of rows with one key the last by ``order_by`` counts."""
         version = self._version()
         batches = self._batches(version)
-        if len(batches) > self.MAX_BATCHES:
-            self.compact()
-            version, batches = version + 1, [0]
         rows = changes(self.read(), batch, order_by)
         self._write(rows, version or 1, batches[-1] + 1 if batches else 0)
 

@@ -108,14 +108,19 @@ def test_reading_one_table_of_the_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(table_name" in one._jdf.queryExecution().toString()
 
 
-def test_upserts_compact_by_themselves(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(EmbeddingStore, "MAX_BATCHES", 2)
+def test_upserts_leave_the_base_alone(spark, tmp_path):
     store = EmbeddingStore(spark, str(tmp_path / "store"))
-    for n in range(6):
+    for n in range(4):
         store.upsert(keyed(spark, [("same", f"v{n}"), (str(n), "x")]))
     found = contents(store)
-    assert found["same"][1] == "v5" and sorted(i for i, _, _ in found.values()) == list(range(1, 8))
-    assert (tmp_path / "store" / "v=2").exists()
+    assert found["same"][1] == "v3" and sorted(i for i, _, _ in found.values()) == list(range(1, 6))
+    assert store.state() == "1.3" and not (tmp_path / "store" / "v=2").exists()
+    assert sorted((r.row_id, r.content) for r in store.changed_since("1.1").collect()) == [("2", "x"), ("3", "x"), ("same", "v3")]
+    assert store.changed_since("1.3").collect() == []
+    store.compact()
+    assert store.state() == "2.0" and contents(store) == found
+    with pytest.raises(ValueError, match="written anew"):
+        store.changed_since("1.3")
 
 
 def test_small_batch_does_not_shuffle_the_store(spark, tmp_path):
