@@ -46,21 +46,39 @@ def rows_of_latest(items: DataFrame, runs: DataFrame, track: str) -> DataFrame:
 def fk_check(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
     """(child, column_name, parent, rows_total, orphans) for each (child, column, parent, key).
 
-    Child keys are counted before the join, so a key that fills a third of the table
-    reaches it as one row. NULL keys refer to nothing and are not orphans.
+    A child table is read once for all its pairs: a row gives one key for each. Child keys are counted
+    before the join, so a key that fills a third of the table reaches it as one row. Keys are compared as
+    the parent's type, written as text. NULL keys refer to nothing and are not orphans.
     """
-
-    def check(child: str, column: str, parent: str, key: str) -> DataFrame:
-        counts = tables[child].groupBy(F.col(column).alias("_k")).agg(F.count("*").alias("_n"))
-        known = tables[parent].select(F.col(key).alias("_k")).distinct().withColumn("_known", F.lit(True))
-        missing = F.col("_known").isNull() & F.col("_k").isNotNull()
-        return counts.join(known, "_k", "left").agg(
-            F.lit(child).alias("child"), F.lit(column).alias("column_name"), F.lit(parent).alias("parent"),
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_total"),
-            F.coalesce(F.sum(F.when(missing, F.col("_n"))), F.lit(0)).alias("orphans"),
-        )
-
-    return reduce(DataFrame.unionByName, [check(*pair) for pair in pairs])
+    spark = tables[pairs[0][0]].sparkSession
+    types = [tables[parent].schema[key].dataType for _, _, parent, key in pairs]
+
+    def counts(child: str) -> DataFrame:
+        keys = F.array(*[
+            F.struct(
+                F.lit(n).alias("_pair"), F.col(column).isNotNull().alias("_given"),
+                F.col(column).try_cast(types[n]).cast("string").alias("_k"),
+            )
+            for n, (of, column, _, _) in enumerate(pairs) if of == child
+        ])
+        keyed = tables[child].select(F.explode(keys).alias("_e")).select("_e.*")
+        return keyed.groupBy("_pair", "_given", "_k").agg(F.count("*").alias("_n"))
+
+    def known(n: int, parent: str, key: str) -> DataFrame:
+        return tables[parent].select(F.lit(n).alias("_pair"), F.col(key).cast("string").alias("_k"))
+
+    met = reduce(DataFrame.unionByName, [known(n, parent, key) for n, (_, _, parent, key) in enumerate(pairs)])
+    asked = reduce(DataFrame.unionByName, [counts(child) for child in dict.fromkeys(pair[0] for pair in pairs)])
+    missing = F.col("_known").isNull() & F.col("_given")
+    found = asked.join(met.distinct().withColumn("_known", F.lit(True)), ["_pair", "_k"], "left").groupBy("_pair").agg(
+        F.sum("_n").alias("rows_total"), F.sum(F.when(missing, F.col("_n"))).alias("orphans")
+    )
+    names = spark.createDataFrame([(n, *pair[:3]) for n, pair in enumerate(pairs)], "_pair int, child string, column_name string, parent string")
+    # An empty child has no counts, but its pairs are listed.
+    return names.join(found, "_pair", "left").select(
+        "child", "column_name", "parent",
+        F.coalesce("rows_total", F.lit(0)).alias("rows_total"), F.coalesce("orphans", F.lit(0)).alias("orphans"),
+    )
 
 
 def missing_keys(needed: DataFrame, key: str, present: DataFrame, present_key: str) -> DataFrame:

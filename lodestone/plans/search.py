@@ -315,6 +315,47 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     return hybrid.search(_query_by_example(store), store, 10).withColumn("score", F.round("score", 9))
 
 
+_NAMES_SQL = """
+names AS (
+    SELECT p_partkey * 4 AS id, 'part' AS table_name, 'name' AS column_name, CAST(p_partkey AS VARCHAR) AS row_id, p_name AS content FROM part
+    UNION ALL SELECT c_custkey * 4 + 1, 'customer', 'name', CAST(c_custkey AS VARCHAR), c_name FROM customer
+),
+asked AS (SELECT p_partkey AS query_id, split_part(p_name, ' ', 1) AS query_text FROM part WHERE p_partkey % 50 = 0)"""
+
+
+@plan("search_text", f"""
+WITH {_NAMES_SQL}, {embed_sql("name_vectors", "names", "id", "content")}, {embed_sql("asked_vectors", "asked", "query_id", "query_text")},
+corpus AS (SELECT * FROM names JOIN name_vectors USING (id)),
+parts AS (SELECT * FROM corpus WHERE table_name = 'part'),
+given AS (SELECT * FROM asked JOIN asked_vectors USING (query_id)),
+{vector_sql("given", "parts", 50)}, {keyword_sql("given", "parts", 50)},
+fused AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+        SELECT v.query_id, v.id, 1.0::DOUBLE / (60 + v.r) + coalesce(1.0::DOUBLE / (60 + kw.r), 0) AS score
+        FROM vec v LEFT JOIN kw ON kw.query_id = v.query_id AND kw.id = v.id
+    )
+)
+SELECT f.query_id, CAST(f.rank AS BIGINT) AS rank, c.table_name, c.column_name, c.row_id, c.content, round(f.score, 9) AS score
+FROM fused f JOIN corpus c ON c.id = f.id WHERE f.rank <= 10
+""")
+def search_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries given as text, against one table of an embedded store of names."""
+    t = Tables(spark, folder)
+    part = t.part.select(
+        (F.col("p_partkey") * 4).alias("id"), F.lit("part").alias("table_name"), F.lit("name").alias("column_name"),
+        F.col("p_partkey").cast("string").alias("row_id"), F.col("p_name").alias("content"),
+    )
+    customer = t.customer.select(
+        (F.col("c_custkey") * 4 + 1).alias("id"), F.lit("customer").alias("table_name"), F.lit("name").alias("column_name"),
+        F.col("c_custkey").cast("string").alias("row_id"), F.col("c_name").alias("content"),
+    )
+    store = stage(embedding.embed(spread(part.unionByName(customer), "id"), "content", make_embedder), "names")
+    asked = t.part.where("p_partkey % 50 = 0").select(
+        F.col("p_partkey").alias("query_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("query_text")
+    )
+    return hybrid.search_text(asked, store, make_embedder, 10, table_name="part").withColumn("score", F.round("score", 9))
+
+
 @plan("hybrid_search_table", _hits_sql("(SELECT * FROM corpus WHERE table_name = 'src3')"))
 def hybrid_search_table(spark: SparkSession, folder: str) -> DataFrame:
     store = corpus(Tables(spark, folder))

@@ -222,6 +222,21 @@ def test_fk_check_counts_orphans(spark):
     assert (got.rows_total, got.orphans) == (5, 2)
 
 
+def test_fk_check_reads_a_child_once(spark):
+    tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("lineitem", "orders", "part", "supplier")}
+    pairs = [("lineitem", f"l_{c}key", t, f"{c[0]}_{c}key") for c, t in (("order", "orders"), ("part", "part"), ("supp", "supplier"))]
+    found = fk_check(tables, pairs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("l_orderkey" in line and "Relation" in line for line in plan.splitlines()) == 1
+    assert sorted((r.column_name, r.rows_total, r.orphans) for r in found.collect()) == [
+        (c, tables["lineitem"].count(), 0) for c in ("l_orderkey", "l_partkey", "l_suppkey")
+    ]
+    odd = spark.createDataFrame([("1", 2.0), ("x", None), (None, 9.0)], "a string, b double")
+    keys = spark.createDataFrame([(1,), (2,)], "k long")
+    got = fk_check({"c": odd, "p": keys, "none": odd.where("false")}, [("c", "a", "p", "k"), ("c", "b", "p", "k"), ("none", "a", "p", "k")])
+    assert sorted((r.child, r.column_name, r.rows_total, r.orphans) for r in got.collect()) == [("c", "a", 3, 1), ("c", "b", 3, 1), ("none", "a", 0, 0)]
+
+
 def test_scratch_folder_comes_from_the_session():
     from types import SimpleNamespace
 
