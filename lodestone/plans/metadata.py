@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import relational
-from lodestone.operators.sql_access import bounded_query, digest_text, schema_digest
+from lodestone.operators.sql_access import bounded_query, catalog_columns, digest_text, schema_digest
 from lodestone.plans.registry import TABLE_NAMES, Tables, plan
 from lodestone.plans.reports import FOREIGN_KEYS
 
@@ -88,22 +88,42 @@ def digest_as_text(spark: SparkSession, folder: str) -> DataFrame:
     return digest_text(schema_digest(_tables(spark, folder)), references)
 
 
-@plan("digest_column_count", "SELECT count(*) AS columns_in_digest FROM (" + " UNION ALL ".join(
+@plan("digest_column_count", "SELECT count(*) AS columns_in_digest, CAST(sum(n) AS BIGINT) AS cells FROM (" + " UNION ALL ".join(
     f"SELECT '{name}' AS c, count(*) AS n FROM {t}" for t, _, name, _ in _declared()
 ) + ")")
 def digest_column_count(spark: SparkSession, folder: str) -> DataFrame:
-    return schema_digest(_tables(spark, folder), nulls=False).agg(F.count("*").alias("columns_in_digest"))
+    """Columns of all tables, and the cells they hold; the rows of a table are read off its file footers."""
+    return schema_digest(_tables(spark, folder), nulls=False).agg(
+        F.count("*").alias("columns_in_digest"), F.sum("rows_total").alias("cells")
+    )
 
 
 @plan("list_columns", " UNION ALL ".join(
-    f"SELECT '{name}' AS column_name, CAST({at} AS BIGINT) AS ordinal FROM (SELECT count(*) FROM {t})"
-    for t, at, name, _ in _declared() if t == "lineitem"
+    f"SELECT '{name}' AS column_name, CAST({at} AS BIGINT) AS ordinal, '{kind}' AS data_type, count(*) AS rows_total FROM {t}"
+    for t, at, name, kind in _declared() if t == "lineitem"
 ))
 def list_columns(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        schema_digest({"lineitem": Tables(spark, folder).lineitem}, nulls=False)
-        .where(F.col("table_name") == "lineitem").select("column_name", "ordinal").orderBy("ordinal")
+    listed = schema_digest({"lineitem": Tables(spark, folder).lineitem}, nulls=False)
+    return listed.select("column_name", "ordinal", "data_type", "rows_total").orderBy("ordinal")
+
+
+@plan("digest_from_listing", "WITH lines AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {at} AS ordinal, '- {name} {kind}' || "
+    f"CASE WHEN count(*) = count({name}) THEN ' NOT NULL' ELSE '' END AS line FROM {t}"
+    for t, at, name, kind in _declared()
+) + """)
+SELECT 'public.' || table_name AS table_name,
+       '## public.' || table_name || chr(10) || string_agg(line, chr(10) ORDER BY ordinal) AS text
+FROM lines GROUP BY table_name
+""")
+def digest_from_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of a database's own listing, which says YES or NO to nulls; here as the tables' contents have it."""
+    measured = schema_digest(_tables(spark, folder)).select(
+        F.lit("public").alias("table_schema"), "table_name", "column_name", F.col("ordinal").alias("ordinal_position"),
+        "data_type", F.when(F.col("nulls") == 0, "NO").otherwise("YES").alias("is_nullable"),
     )
+    hidden = measured.withColumn("table_schema", F.lit("information_schema"))
+    return digest_text(catalog_columns(measured.unionByName(hidden)))
 
 
 _BOUNDED = """
