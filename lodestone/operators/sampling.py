@@ -23,12 +23,38 @@ def sample_pct(df: DataFrame, pct: float, key: str, seed: int = 42) -> DataFrame
     return df.where(place < int(pct / 100 * (1 << 32)))
 
 
-def random_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(draw(key, seed), key).limit(n)
+def random_n(df: DataFrame, key: str, n: int, seed: int = 42, prefix: int = 4) -> DataFrame:
+    """The ``n`` rows drawn first, in no order; all rows if there are fewer.
+
+    The leading hex digits of the draw cut the rows into 16^prefix even ranges. Rows are counted
+    per range by their keys alone; ranges before the one in which the nth row lies are taken
+    whole, where they are read, and only the rows of that one are put in order.
+    """
+    # A null key is drawn first.
+    drawn = df.withColumn("_draw", F.coalesce(draw(key, seed), F.lit(""))).withColumn("_range", F.substring("_draw", 1, prefix))
+    counts = drawn.groupBy("_range").agg(F.count("*").alias("_count"))
+    # At most 16^prefix rows and one more, one per range, whatever the table holds.
+    upto = F.sum("_count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    border = counts.withColumn("_upto", upto).where(F.col("_upto") > n).orderBy("_range").first()
+    if border is None:
+        return df
+    left = n - (border["_upto"] - border["_count"])
+    whole = drawn.where(F.col("_range") < border["_range"])
+    near = drawn.where(F.col("_range") == border["_range"])
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy("_draw", key))).where(F.col("_n") <= left)
+    return whole.drop("_draw", "_range").unionByName(near.drop("_draw", "_range", "_n"))
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.orderBy(key).limit(n)
+    """The ``n`` rows with the smallest keys, in no order; only keys are put in order, and rows that share the nth."""
+    kth = df.select(key).orderBy(key).limit(n).agg(F.max(key).alias("k"), F.count("*").alias("n")).first()
+    if kth["n"] < n:
+        return df
+    below = df.where(F.col(key).isNull() | (F.col(key) < kth["k"]) if kth["k"] is not None else F.lit(False))
+    tied = F.col(key).eqNullSafe(F.lit(kth["k"]))
+    left = n - below.count()
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return below.unionByName(df.where(tied).withColumn("_n", nth).where(F.col("_n") <= left).drop("_n"))
 
 
 def stratified(

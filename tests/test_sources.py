@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators.relational import fiscal_year, fk_check, in_fiscal_year
-from lodestone.operators.sampling import draw, numbered
+from lodestone.operators.sampling import draw, first_n, numbered, random_n
 from lodestone.operators.store_health import embedding_health, embedding_health_approx, validate_store
 from lodestone.session import scratch_path, spread, stage
 from lodestone.sources.store import STORE_SCHEMA, EmbeddingStore, RunHistory
@@ -222,6 +222,21 @@ def test_fk_check_counts_orphans(spark):
     assert (got.rows_total, got.orphans) == (5, 2)
 
 
+@pytest.mark.parametrize("prefix", [1, 4])
+def test_samples_put_only_a_few_rows_in_order(spark, prefix):
+    keys = [*range(400), *[7] * 50, None, None]
+    df = spark.createDataFrame([(k, f"text {k}") for k in keys], "id long, text string")
+    for n in (0, 1, 2, 3, 57, 399, 451, 452, 600):
+        want = sorted(r.text for r in df.orderBy(draw("id", 42), "id").limit(n).collect())
+        got = random_n(df, "id", n, prefix=prefix)
+        assert sorted(r.text for r in got.collect()) == want
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+        want = sorted(r.text for r in df.orderBy("id").limit(n).collect())
+        got = first_n(df, "id", n)
+        assert sorted(r.text for r in got.collect()) == want
+        assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fk_check_reads_a_child_once(spark):
     tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("lineitem", "orders", "part", "supplier")}
     pairs = [("lineitem", f"l_{c}key", t, f"{c[0]}_{c}key") for c, t in (("order", "orders"), ("part", "part"), ("supp", "supplier"))]
