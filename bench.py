@@ -27,7 +27,7 @@ HEADLINE = (
     "perturb_queries", "stratified_sample", "embed_batches",
     # search: one batch of queries against the whole store
     "search_eval_names", "search_eval", "hybrid_search", "hybrid_search_table", "rrf_fuse", "keyword_topk", "keyword_topk_indexed",
-    "match_all_terms", "keyword_ts_rank", "keyword_after_upsert", "search_text", "knn_cosine", "knn_lsh",
+    "match_all_terms", "keyword_ts_rank", "keyword_after_upsert", "search_text", "knn_cosine", "knn_lsh", "knn_pruned",
 )
 
 

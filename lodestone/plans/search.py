@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import SPACE_PATTERN, TOKEN_PATTERN, analyze
 from lodestone.functions.vectors import TrigramEmbedder
 from lodestone.operators import embedding, evaluation, hybrid, keyword, knn, sampling, store_health
+from lodestone.operators.cells import CellIndex
 from lodestone.plans.registry import Tables, plan
 from lodestone.plans.standins import CORPUS_SQL, corpus
 from lodestone.session import scratch_path, spread, stage
@@ -262,6 +263,31 @@ def knn_lsh_recall(spark: SparkSession, folder: str) -> DataFrame:
     return knn.neighbour_recall(exact, knn_lsh(spark, folder))
 
 
+@plan("knn_pruned", f"""
+WITH {vector_sql(_VECTORS, "(SELECT vec_id AS id, embedding FROM embeddings)", 10)}
+SELECT query_id, id, distance, CAST(r AS BIGINT) AS rank FROM vec
+""")
+def knn_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact search by fitted cells: own cell first, then those within reach of the kth distance."""
+    vectors = Tables(spark, folder).embeddings
+    index = CellIndex.build(vectors, corpus_key="vec_id")
+    return index.exact(vectors, 10, query_key="vec_id")
+
+
+@plan("knn_cells_recall", """
+SELECT n * least(n, 10) AS expected, true AS enough FROM (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL)
+""")
+def knn_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours of all documents from a stored index, from as many cells as a sample of them needs, against the exact ones."""
+    store = stage(embedding.embed(spread(_texts(Tables(spark, folder)), "id"), "content", make_embedder).select("id", "embedding"))
+    path = f"{scratch_path(spark, 'cell-index')}/index"
+    CellIndex.write(store, path)
+    index = CellIndex.read(spark, path)
+    near = index.search(store, 10, index.probes_for(store, 10, query_key="id"), query_key="id")
+    found = knn.neighbour_recall(knn.knn(store, store, 10, query_key="id"), near)
+    return found.select("expected", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # Every stored row asks for its own neighbours, by its vector and its whole text.
 _STORED = "(SELECT id AS query_id, content AS query_text, embedding FROM corpus WHERE embedding IS NOT NULL)"
 
