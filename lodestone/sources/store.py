@@ -261,10 +261,12 @@ class EmbeddingStore:
         self.replace(self.read())
 
     def _write(self, rows: DataFrame, version: int, batch: int) -> None:
-        # Rebalanced, a small table is one file and a large one is written by many tasks.
+        # Rebalanced, a small table is one file and a large one is written by many tasks. Sorted by id, row
+        # groups that hold none of the ids asked for are not read.
         (
             rows.select("id", *STORE_KEY, "content", "embedding")
             .hint("rebalance", "table_name", "column_name")
+            .sortWithinPartitions("table_name", "column_name", "id")
             .write.mode("overwrite").partitionBy("table_name", "column_name")
             .parquet(f"{self.path}/v={version}/batch={batch}")
         )
