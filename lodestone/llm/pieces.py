@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
@@ -17,8 +18,13 @@ from lodestone.llm.text import _R, _R_INV, _power, blocks, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the texts that are encoded together; many words of one length make a pass worth its while.
 BLOCK_CHARS = 8 << 20
-#: Encoded words kept between batches; all are dropped when there are more. It changes the time only.
-CACHE_WORDS = 400_000
+#: Encoded words kept between batches and the characters in them; all are dropped when there are more. Both change the
+#: time only.
+CACHE_WORDS, CACHE_CHARS = 400_000, 16 << 20
+#: Longer words seldom have others of their length to advance with, and go alone. It changes the time only.
+LONG_WORD = 64
+#: Characters of a long word whose substrings are looked up together.
+LONG_BLOCK = 1 << 16
 #: Characters of all words that one Viterbi pass advances.
 PASS_CHARS = 1 << 17
 #: How much less than the worst piece a character without a piece scores.
@@ -184,6 +190,55 @@ def viterbi(words: list[str], vocabulary: Vocabulary) -> list[bytes]:
     return out
 
 
+def viterbi_long(word: str, vocabulary: Vocabulary) -> bytes:
+    """The same segmentation as ``viterbi`` gives, for one word of any length.
+
+    All substrings of a block are looked up at once, a length at a time, so a character costs the few pieces that
+    start there and not a call for every length; beside the block 16 bytes per character are held.
+    """
+    _, ids, scores = vocabulary.table
+    length, longest, unknown = len(word), vocabulary.longest, vocabulary.unknown
+    best = array("d", [-np.inf]) * (length + 1)
+    back = array("i", [0]) * (length + 1)
+    piece = array("i", [NONE]) * (length + 1)
+    best[0] = 0.0
+    for a in range(0, length, LONG_BLOCK):
+        n = min(LONG_BLOCK, length - a)
+        sums = _prefix_sums(_codes([word[a : a + n + longest - 1]]))[:, 0]
+        inverse = _power("down", _R_INV, len(sums))
+        starts, sizes, places = [], [], []
+        for size in range(1, min(longest, len(sums) - 1) + 1):
+            begins = min(n, len(sums) - size)
+            rows, at = vocabulary.find((sums[size : size + begins] - sums[:begins]) * inverse[:begins])
+            starts.append(rows)
+            sizes.append(np.full(len(rows), size))
+            places.append(at)
+        starts, places = np.concatenate(starts), np.concatenate(places)
+        order = np.argsort(starts, kind="stable")
+        cut = np.searchsorted(starts[order], np.arange(n + 1)).tolist()
+        ends = (a + starts + np.concatenate(sizes))[order].tolist()
+        found, worth = ids[places][order].tolist(), scores[places][order].tolist()
+        # Pieces that end in one place come by ascending start, so a tie keeps the longest; a lone character comes last.
+        for i in range(a, a + n):
+            here = best[i]
+            for m in range(cut[i - a], cut[i - a + 1]):
+                end, total = ends[m], here + worth[m]
+                if total > best[end]:
+                    best[end], back[end], piece[end] = total, i, found[m]
+            if here + unknown > best[i + 1]:
+                best[i + 1], back[i + 1], piece[i + 1] = here + unknown, i, BYTES
+    out, j = array("i"), length
+    while j:
+        i = back[j]
+        if piece[j] == BYTES:
+            out.extend(reversed(vocabulary.byte_ids[list(word[i:j].encode())].tolist()))
+        else:
+            out.append(piece[j])
+        j = i
+    out.reverse()
+    return np.array(out, "<i4").tobytes()
+
+
 def split_words(text: str, at_lines: bool = True) -> list[str]:
     """The words of a text with a space put before it, each without the space it starts with.
 
@@ -204,6 +259,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.at_lines = not any("\n" in p for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True) if k == 0)
         self.known: dict[str, bytes] = {}
+        self.chars = 0
 
     def learn(self, words: Iterable[str]) -> None:
         by_length: dict[int, list[tuple[str, str]]] = {}
@@ -211,6 +267,9 @@ class Encoder:
             full = w if self.at_lines and w[:1] == "\n" else " " + w
             by_length.setdefault(len(full), []).append((w, full))
         for length, group in by_length.items():
+            if length > LONG_WORD:
+                self.known.update((w, viterbi_long(full, self.vocabulary)) for w, full in group)
+                continue
             step = max(1, PASS_CHARS // length)
             for k in range(0, len(group), step):
                 words, full = zip(*group[k : k + step], strict=True)
@@ -223,10 +282,13 @@ class Encoder:
             split = [split_words(t, self.at_lines) if t else [] for t in texts[a:b]]
             here = set().union(*split)
             new = [w for w in here if w not in self.known]
-            if new and len(self.known) + len(new) > CACHE_WORDS:
+            chars = sum(map(len, new))
+            if new and (len(self.known) + len(new) > CACHE_WORDS or self.chars + chars > CACHE_CHARS):
                 self.known.clear()
                 new = list(here)
+                self.chars, chars = 0, sum(map(len, new))
             self.learn(new)
+            self.chars += chars
             look = {w: self.known[w] for w in here}.__getitem__
             for t, words in zip(texts[a:b], split, strict=True):
                 out.append(None if t is None else np.frombuffer(b"".join(map(look, words)), "<i4"))

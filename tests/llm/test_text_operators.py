@@ -1,9 +1,11 @@
 """Fingerprints, substring dedup, near-duplicates, pieces and personal data against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+
 import numpy as np
 import pytest
 import xxhash
@@ -217,6 +219,32 @@ def test_segmentation_of_whole_texts_equals_that_of_their_words(vocabulary):
         assert score == pytest.approx(plain_best(" " + text, vocabulary, table))
 
 
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_long_words_are_segmented_like_words_that_advance_together(vocabulary, block, monkeypatch):
+    monkeypatch.setattr(pieces, "LONG_BLOCK", block)
+    draw = random.Random(5)
+    made = ["".join(draw.choices(letters, k=n)) for letters in ("etaoin", "aé漢😀▁", "=/+Zq9") for n in (1, 65, 700)]
+    for word in [*made, "the" * 400, "漢字" * 300, " " + "=" * 500]:
+        assert pieces.viterbi_long(word, vocabulary) == pieces.viterbi([word], vocabulary)[0]
+
+
+def test_long_words_take_lookups_by_block_and_not_by_character(vocabulary, monkeypatch):
+    calls = []
+    find = vocabulary.find
+    monkeypatch.setitem(vocabulary.__dict__, "find", lambda probe: calls.append(len(probe)) or find(probe))
+    ids = pieces.Encoder(vocabulary).encode(["thequickbrown漢" * 20_000])[0]
+    assert pieces.Encoder(vocabulary).decode(ids) == "thequickbrown漢" * 20_000
+    assert len(calls) <= vocabulary.longest * (1 + 280_000 // pieces.LONG_BLOCK + 1)
+
+
+def test_words_kept_are_bounded_in_characters(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_CHARS", 1000)
+    encoder = pieces.Encoder(vocabulary)
+    for i in range(30):
+        encoder.encode([f"{i}" * 200])
+        assert sum(map(len, encoder.known)) <= 1000 and encoder.chars == sum(map(len, encoder.known))
+
+
 def test_pieces_come_back(odd, small, texts):
     encoded = pieces.encode(odd)
     rows = encoded.collect()
