@@ -23,11 +23,11 @@ HEADLINE = (
     # files and sinks
     "load_ask_items", "load_search_maps", "export_fiscal_year", "ingest_selected", "score_responses",
     # building the store
-    "embed_column", "build_postings", "upsert_embeddings", "embedding_health", "collapsed_vectors",
+    "embed_column", "build_postings", "upsert_embeddings", "embedding_health", "embedding_health_sketched", "collapsed_vectors",
     "perturb_queries", "stratified_sample", "embed_batches",
     # search: one batch of queries against the whole store
     "search_eval_names", "search_eval", "hybrid_search", "hybrid_search_table", "rrf_fuse", "keyword_topk", "keyword_topk_indexed",
-    "match_all_terms", "keyword_ts_rank", "keyword_after_upsert", "search_text", "knn_cosine", "knn_lsh", "knn_pruned",
+    "match_all_terms", "keyword_ts_rank", "keyword_after_upsert", "search_text", "lexicon_search", "knn_cosine", "knn_lsh", "knn_pruned",
 )
 
 

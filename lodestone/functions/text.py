@@ -47,6 +47,12 @@ def _stem_arrays(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [cached(w) for w in ws])
 
 
+@F.pandas_udf(T.StringType())
+def stem_word(words: pd.Series) -> pd.Series:
+    """The English stem of each word."""
+    return words.map(stem, na_action="ignore")
+
+
 def analyze(text: Column, language: str = "simple") -> Column:
     """Lexemes of ``text``: ``simple`` keeps every word, ``english`` drops stop words and stems."""
     words = tokens(text)

@@ -7,9 +7,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import SPACE_PATTERN, TOKEN_PATTERN, analyze
+from lodestone.functions.text import ENGLISH_STOPWORDS, SPACE_PATTERN, TOKEN_PATTERN, analyze
 from lodestone.functions.vectors import TrigramEmbedder
-from lodestone.operators import embedding, evaluation, hybrid, keyword, knn, sampling, store_health
+from lodestone.operators import embedding, evaluation, hybrid, keyword, knn, lexicon, sampling, store_health
 from lodestone.operators.cells import CellIndex
 from lodestone.plans.registry import Tables, plan
 from lodestone.plans.standins import CORPUS_SQL, corpus
@@ -96,6 +96,71 @@ def analyze_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_STOPS = ", ".join(f"'{w}'" for w in ENGLISH_STOPWORDS)
+_LEXICON_SQL = f"""
+    lexicon AS (
+        SELECT word, CASE
+            WHEN word IN ({_STOPS}) THEN NULL
+            WHEN word LIKE '%ies' THEN CASE WHEN word LIKE '%eies' OR word LIKE '%aies' THEN word ELSE word[:-4] || 'y' END
+            WHEN word LIKE '%es' THEN CASE WHEN word LIKE '%aes' OR word LIKE '%ees' OR word LIKE '%oes' THEN word ELSE word[:-2] END
+            WHEN word LIKE '%s' THEN CASE WHEN word LIKE '%us' OR word LIKE '%ss' THEN word ELSE word[:-2] END
+            ELSE word END AS lexeme
+        FROM (SELECT DISTINCT unnest({_tokens('text')}) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark))
+    )"""
+
+
+def _lexed_sql(name: str, key: str, content: str, rows: str) -> str:
+    """CTE ``name``: the texts of ``rows`` as lexemes in reading order."""
+    return f"""
+    {name} AS (
+        SELECT r.{key} AS {key}, coalesce(l.{content}, '') AS {content} FROM {rows} r LEFT JOIN (
+            SELECT {key}, string_agg(lexeme, ' ' ORDER BY pos) AS {content}
+            FROM (SELECT {key}, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+                  FROM (SELECT {key}, {_tokens(content)} AS ws FROM {rows})) JOIN lexicon USING (word)
+            WHERE lexeme IS NOT NULL GROUP BY {key}
+        ) l USING ({key})
+    )"""
+
+
+def _lexicon(t: Tables) -> DataFrame:
+    """The words of the documents, then those that the passages add, each written once."""
+    path = scratch_path(t.documents.sparkSession, "lexicon")
+    lexicon.lexicon(t.documents, "text", rule="plural").write.parquet(f"{path}/batch=0")
+    known = t.documents.sparkSession.read.parquet(f"{path}/batch=0")
+    lexicon.extend(known, t.benchmark, "text", rule="plural").write.parquet(f"{path}/batch=1")
+    return t.documents.sparkSession.read.parquet(path).select("word", "lexeme")
+
+
+@plan("lexicon_postings", f"""
+WITH {_LEXICON_SQL},
+placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, {_tokens('text')} AS ws FROM documents))
+SELECT doc_id, lexeme, CAST(count(*) AS BIGINT) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
+FROM placed JOIN lexicon USING (word) WHERE lexeme IS NOT NULL GROUP BY doc_id, lexeme
+""")
+def lexicon_postings(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    return lexicon.lexeme_postings(t.documents, _lexicon(t), "doc_id", "text").select(
+        "doc_id", "lexeme", F.col("tf").cast("long").alias("tf"),
+        F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"),
+    )
+
+
+@plan("lexicon_search", f"""
+WITH {_LEXICON_SQL},
+{_lexed_sql("asked", "query_id", "query_text", "(SELECT item_id AS query_id, text AS query_text FROM benchmark)")},
+{_lexed_sql("rows_", "id", "content", "(SELECT doc_id AS id, text AS content FROM documents)")},
+{keyword_sql("asked", "rows_", 10)}
+SELECT query_id, id, score, CAST(r AS BIGINT) AS rank FROM kw
+""")
+def lexicon_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages against documents by lexeme: a word matches its plural, and stop words do not count."""
+    t = Tables(spark, folder)
+    words = _lexicon(t)
+    passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    rows = stage(lexicon.lexeme_text(_texts(t), words), "lexemes")
+    return keyword.match_rank(lexicon.lexeme_text(passages, words, "query_id", "query_text"), rows, 10)
+
+
 @plan("build_postings", f"""
 WITH toks AS (SELECT doc_id AS id, {_tokens('text')} AS ws FROM documents),
      placed AS (SELECT id, len(ws) AS n_tokens, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS pos FROM toks)
@@ -405,6 +470,26 @@ def embedding_health_approx(spark: SparkSession, folder: str) -> DataFrame:
     return store_health.embedding_health_approx(corpus(Tables(spark, folder)))
 
 
+@plan("embedding_health_sketched", f"""
+WITH {CORPUS_SQL}
+SELECT table_name, column_name, count(DISTINCT content) AS distinct_contents,
+       count(DISTINCT embedding) AS distinct_embeddings, TRUE AS distinct_contents_within, TRUE AS distinct_embeddings_within
+FROM (SELECT * FROM corpus UNION ALL SELECT * REPLACE ('all' AS table_name) FROM corpus)
+GROUP BY table_name, column_name
+""")
+def embedding_health_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches kept for each of four batches and merged on read, beside exact counts; the whole store as a table too."""
+    rows = corpus(Tables(spark, folder))
+    rows = rows.unionByName(rows.withColumn("table_name", F.lit("all")))
+    kept = scratch_path(spark, "sketches")
+    for batch in range(4):
+        store_health.keep_sketches(rows.where(F.pmod("id", F.lit(4)) == batch), kept, batch)
+    estimated = store_health.sketched_health(spark.read.parquet(kept))
+    return store_health.check_sketches(estimated, store_health.embedding_health(rows)).drop(
+        "distinct_contents_estimate", "distinct_embeddings_estimate"
+    )
+
+
 @plan("validate_store", f"""
 WITH {CORPUS_SQL}
 SELECT count(*) AS rows_total, count(*) FILTER (WHERE embedding IS NULL) AS null_vectors,
