@@ -5,7 +5,6 @@ import random
 import re
 from collections import Counter
 
-
 import numpy as np
 import pytest
 import xxhash
