@@ -54,10 +54,12 @@ def stem_word(words: pd.Series) -> pd.Series:
 
 
 def analyze(text: Column, language: str = "simple") -> Column:
-    """Lexemes of ``text``: ``simple`` keeps every word, ``english`` drops stop words and stems."""
+    """Lexemes of ``text``: ``simple`` keeps every word, ``english`` drops stop words and stems, ``unstemmed`` only drops."""
     words = tokens(text)
     if language == "simple":
         return words
+    if language == "unstemmed":
+        return F.filter(words, lambda w: ~w.isin(ENGLISH_STOPWORDS))
     if language == "english":
         return _stem_arrays(F.filter(words, lambda w: ~w.isin(ENGLISH_STOPWORDS)))
     raise ValueError(f"unknown language {language!r}")
@@ -71,8 +73,10 @@ def analyze_placed(text: Column, language: str = "simple") -> Column:
     pairs = F.transform(tokens(text), lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("pos")))
     if language == "simple":
         return pairs
+    kept = F.filter(pairs, lambda p: ~p["lexeme"].isin(ENGLISH_STOPWORDS))
+    if language == "unstemmed":
+        return kept
     if language == "english":
-        kept = F.filter(pairs, lambda p: ~p["lexeme"].isin(ENGLISH_STOPWORDS))
         return F.zip_with(
             _stem_arrays(kept["lexeme"]), kept["pos"], lambda w, p: F.struct(w.alias("lexeme"), p.alias("pos"))
         )

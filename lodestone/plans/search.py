@@ -157,8 +157,7 @@ def lexicon_search(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     words = _lexicon(t)
     passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    rows = stage(lexicon.lexeme_text(_texts(t), words), "lexemes")
-    return keyword.match_rank(lexicon.lexeme_text(passages, words, "query_id", "query_text"), rows, 10)
+    return keyword.match_rank(passages, _texts(t), 10, lexemes=words)
 
 
 @plan("build_postings", f"""

@@ -85,6 +85,19 @@ def test_search_by_lexeme_finds_other_forms(spark, rows, english):
     assert {(r.query_id, r.id) for r in hits.collect()} == {(1, 1), (2, 2)}
 
 
+@pytest.mark.parametrize("ranking", ["bm25", "ts_rank"])
+def test_search_by_lexicon_equals_search_by_stems(spark, ranking):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    docs = read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    # Short queries from the documents themselves, and one of no known word.
+    asked = docs.select(F.col("id").alias("query_id"), F.array_join(F.slice(analyze("content"), 3, 4), " ").alias("query_text"))
+    asked = asked.unionByName(spark.createDataFrame([(-1, "qqqqzz the"), (-2, "the of"), (-3, None)], asked.schema))
+    words = lexicon.lexicon(docs)
+    got = match_rank(asked, docs, 5, ranking=ranking, lexemes=words)
+    want = match_rank(asked, docs, 5, ranking=ranking, language="english")
+    assert got.count() > 50 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
 def test_an_empty_table_has_no_words_and_an_unknown_rule_is_refused(rows):
     none = rows.where("false")
     words = lexicon.lexicon(none)
