@@ -1,5 +1,6 @@
 import numpy as np
 
+from lodestone.functions import vectors
 from lodestone.plans import PLANS, search
 
 
@@ -39,3 +40,12 @@ def test_a_hybrid_search_does_not_join_the_store_again(spark, tmp_path, monkeypa
     for name in ("hybrid_search", "hybrid_search_table"):
         assert PLANS[name](spark, folder).count() > 0
     assert len(seen) == 4 and not any("Join" in p for p in seen)
+
+def test_a_trigram_is_looked_up_once_a_text(monkeypatch):
+    asked, plain = [], vectors._bucket
+    monkeypatch.setattr(vectors, "_bucket", lambda gram: asked.append(gram) or plain(gram))
+    texts = ["", "a", "né", "xyz", "xyxyx" * 50, "日本語テキスト", "😀😀😀y"]
+    got = vectors.TrigramEmbedder(32)(texts)
+    assert len(asked) <= sum(len({t[i : i + 3] for i in range(max(1, len(t) - 2))}) for t in texts)
+    want = [np.bincount([plain(t[i : i + 3]) % 32 for i in range(max(1, len(t) - 2))], minlength=32) for t in texts]
+    assert (got == np.array(want)).all()
