@@ -10,6 +10,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +18,10 @@ from lodestone.llm.text import _R, _R_INV, _power, blocks, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the texts that are encoded together; many words of one length make a pass worth its while.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 2 << 20
 #: Encoded words kept between batches and the characters in them; all are dropped when there are more. Both change the
 #: time only.
-CACHE_WORDS, CACHE_CHARS = 400_000, 16 << 20
+CACHE_WORDS, CACHE_CHARS = 200_000, 8 << 20
 #: Longer words seldom have others of their length to advance with, and go alone. It changes the time only.
 LONG_WORD = 64
 #: Characters of a long word whose substrings are looked up together.
@@ -325,9 +326,10 @@ def _encode_batches(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in blocks([len(t or "") for t in texts], BLOCK_CHARS):
-                lines = encoder.encode(texts[a:b])
+            # A batch is never held as Python objects whole.
+            column = batch.column("text")
+            for a, b in blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BLOCK_CHARS):
+                lines = encoder.encode(column.slice(a, b - a).to_pylist())
                 sizes = np.array([0 if x is None else len(x) for x in lines], np.int64)
                 flat = np.concatenate([x for x in lines if x is not None] or [np.zeros(0, "<i4")])
                 null = np.array([x is None for x in lines])
