@@ -93,3 +93,38 @@ def test_a_lexicon_too_large_to_hand_out_gives_the_same(spark, rows, monkeypatch
     monkeypatch.setattr(lexicon, "HANDED", 0)
     assert want == [sorted(map(str, lexicon.lexeme_postings(r, words).collect())) for r in (rows, twice)]
     assert hits == sorted(map(str, match_rank(asked, rows, 3, lexemes=words).collect())) and len(hits) == 3
+
+
+def test_words_are_cut_as_spark_cuts_them(spark):
+    points = [*range(1, 0x2FF), 0x130, 0x3A3, 0x1E9E, 0x2160, 0x2CEF, 0x3007, 0x4E00, 0xFF21, 0x1D7CE, 0x1F600, 0x20000, 0x10FFFF]
+    rng = random.Random(3)
+    texts = ["", " ", "a", "...", "é", "x\U0001d7ce", *["".join(map(chr, rng.choices(points, k=rng.randint(1, 80)))) for _ in range(200)]]
+    rows = spark.createDataFrame([*enumerate(texts)], "id long, content string").coalesce(2)
+    words = analyze(F.col("content"))
+    want = rows.select("id", F.size(words).alias("n_tokens"), term_positions(analyze_placed(F.col("content"))).alias("terms"))
+    got = with_terms(rows, "content", positions=True)
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("k", [2, None])
+def test_whole_rows_as_queries_are_not_put_together_from_postings(spark, monkeypatch, k):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, range(40, 0, -1), k=rng.randint(1, 7)))) for i in range(80)] + [(90, ""), (91, "w0"), (92, "w1 w0")]
+    asked = [*docs, (200, "w0 nowhere"), (201, "W1, w0!"), (202, "w0 w0 w2")]
+    monkeypatch.setattr(keyword, "OFTEN", 6)
+    plans, real = {}, keyword.stage
+
+    def spy(df, label="staged"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(keyword, "stage", spy)
+    found = match_rank(spark.createDataFrame(asked, "query_id long, query_text string"), spark.createDataFrame(docs, "id long, content string"), k).collect()
+    want = brute(asked, docs, k or 10_000)
+    assert {(r.query_id, r.id) for r in found} == want.keys()
+    assert all(r.score == pytest.approx(want[r.query_id, r.id][0], abs=2e-6) for r in found)
+    # Lexemes are shuffled to count them and to look up the rare ones of rows that are all a query asks for, not for ways and comparison.
+    assert "hashpartitioning(lexeme" in plans["frequencies"]
+    assert all("hashpartitioning(lexeme" not in plans[x] for x in ("asked-ways", "ways"))
